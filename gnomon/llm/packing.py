@@ -25,7 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gnomon.llm import _runtime as R
-from gnomon.llm.bpe import encoder
+from gnomon.llm import _text as T
+from gnomon.llm.bpe import encoder, with_ends
 
 #: Ids of a sequence, and the id that ends a document.
 MOST, END = 1024, 2
@@ -81,22 +82,23 @@ def cuts(n: int, most: int = MOST) -> list[tuple[int, int]]:
 
 
 def _cut(path: str, kind: str, most: int, end: int, ids: bool):
-    tail = np.array([end], "<u4").tobytes()
-
     def run(batches):
         enc = encoder(path, kind)
         for batch in batches:
-            row, piece, start, length, crc, held = [], [], [], [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                got = enc.encode(text or "") + tail
-                for k, (s, n) in enumerate(cuts(len(got) // 4, most)):
-                    part = got[4 * s : 4 * (s + n)]
-                    row.append(r), piece.append(k), start.append(s), length.append(n), crc.append(zlib.crc32(part))
-                    if ids:
-                        held.append(part)
-            cols = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            names = ["id", "piece", "start", "length", "ids_crc32"]
-            yield pa.record_batch([*cols, pa.array(held, pa.binary())] if ids else cols, names=names + ["ids"] * ids)
+            data, offs = T.text_bytes(batch.column(1))
+            for i, j in T.slices(offs, 4 << 20):
+                got, first = with_ends(*enc.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), end)
+                row, piece, start, length, crc, held = [], [], [], [], [], []
+                for r in range(j - i):
+                    own = got[first[r] : first[r + 1]].astype("<u4").tobytes()
+                    for k, (s, n) in enumerate(cuts(len(own) // 4, most)):
+                        part = own[4 * s : 4 * (s + n)]
+                        row.append(i + r), piece.append(k), start.append(s), length.append(n), crc.append(zlib.crc32(part))
+                        if ids:
+                            held.append(part)
+                cols = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                names = ["id", "piece", "start", "length", "ids_crc32"]
+                yield pa.record_batch([*cols, pa.array(held, pa.binary())] if ids else cols, names=names + ["ids"] * ids)
 
     return run
 
