@@ -61,7 +61,10 @@ def nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: i
     for r in range(len(qid)):
         left = np.flatnonzero((near[r] - slack[r] <= cut[r]) & (cid != qid[r]))
         if len(left):
-            d = np.sqrt(((c[left] - q[r]) ** 2).sum(axis=1))
+            total = np.zeros(len(left))
+            for x in (c[left] - q[r]).T:  # one component after the other, as the definition adds them
+                total += x * x
+            d = np.sqrt(total)
             seen: dict[int, float] = {}
             for x, i in heapq.nsmallest(k * 4, zip(d.tolist(), cid[left].tolist(), strict=True)) if len(set(cid[left].tolist())) == len(left) else sorted(zip(d.tolist(), cid[left].tolist(), strict=True)):
                 seen.setdefault(i, x)
