@@ -33,7 +33,7 @@ from gnomon.llm.graph import components
 BANDS, PER_BAND = 32, 3
 HASHES = BANDS * PER_BAND
 #: Members of a block when buckets are searched in round two.
-BLOCK = 256
+BLOCK = 512
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _XOR = _rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64)
