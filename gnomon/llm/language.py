@@ -31,6 +31,8 @@ PER_LANGUAGE, LONGEST, RUN, ROUNDS = 1500, 12, 32, 3
 UNKNOWN, PSEUDO = 1e-8, 0.02
 #: Distinct runs whose probabilities a worker keeps; a matter of speed alone.
 KEPT = 600_000
+#: Distinct words whose tables the driver holds at once while it learns.
+FITTED = 20_000
 START = 0x2581  # ▁, which stands before a word in the vocabulary
 _SIZE = 1 << 20
 
@@ -234,13 +236,18 @@ def fit(words: dict[tuple[str, str], int], path: str, rounds: int = ROUNDS) -> M
     for (lang, w), n in words.items():
         weight[at[w], languages.index(lang)] += n
     vocab = vocabulary(path)
-    data = np.frombuffer("".join("▁" + w for w in at).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(w) + 1 for w in at])
-    lattice = Lattice(vocab, data, ends - [len(w) + 1 for w in at], ends)
+    # Words of like length together, FITTED at a time: the forward and backward tables of one part are held at once.
+    order = sorted(at, key=len)
+    parts = []
+    for i in range(0, len(order), FITTED):
+        few = order[i : i + FITTED]
+        data = np.frombuffer("".join("▁" + w for w in few).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(w) + 1 for w in few])
+        parts.append((Lattice(vocab, data, ends - [len(w) + 1 for w in few], ends), weight[[at[w] for w in few]]))
     prob = np.full((vocab.n + 2, len(languages)), 1 / vocab.n)
     for r in range(rounds + 1):
         if r:
-            seen = lattice.expected(prob, weight)[: vocab.n] + PSEUDO
+            seen = sum(lattice.expected(prob, w) for lattice, w in parts)[: vocab.n] + PSEUDO
             prob[: vocab.n] = seen / seen.sum(axis=0)
         prob[vocab.n], prob[vocab.n + 1] = 0, UNKNOWN
     return Model(path, languages, prob)
