@@ -80,7 +80,7 @@ def path(registry: Registry, start: str, goal: str, to_one: bool = False, prefer
     home = lambda i: (schema.by_id[i].provider, schema.by_id[i].connection)
     while queue:
         at, way = queue.popleft()
-        for e in sorted(schema.edges[at], key=lambda e: not liked(e)):
+        for e in sorted(schema.edges[at], key=lambda e: (not liked(e), e.name.startswith("~"))):
             if e.target in seen or to_one and e.many or policy and home(e.target) != home(start):
                 continue
             if e.target == goal:
