@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -87,6 +89,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trimmed(run):
+    """run, a function of Arrow batches, giving freed memory back to the system when a task ends: workers stay alive
+    between stages, and what one stage needed must not add up with what the next one needs."""
+
+    def held(batches):
+        yield from run(batches)
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return held
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

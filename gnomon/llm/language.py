@@ -280,6 +280,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "d
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(model)  # pieces times languages
 
+    @R.trimmed
     def run(batches):
         for batch in batches:
             _, offs = T.text_bytes(batch.column(1))

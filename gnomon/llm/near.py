@@ -66,6 +66,7 @@ def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 
 
 def _signed(k: int):
+    @R.trimmed
     def run(batches):
         for batch, sets in _each(batches, k):
             n, one, two, keys, sig = [], [], [], [], []
@@ -89,6 +90,7 @@ def _signed(k: int):
 
 
 def _sets(k: int):
+    @R.trimmed
     def run(batches):
         for batch, sets in _each(batches, k):
             yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
@@ -97,6 +99,7 @@ def _sets(k: int):
 
 
 def _linked(num: int, den: int):
+    @R.trimmed
     def run(batches):
         for batch in batches:
             keep = []
@@ -165,6 +168,7 @@ def _across(num: int, den: int, kind: pa.DataType):
     expected = t + (1 - t) / 256
     least = 2 * HASHES * expected - 6 * math.sqrt(2 * HASHES * expected * (1 - expected))
 
+    @R.trimmed
     def run(batches):
         for table in _groups(batches, KEYS):
             a, b = _near_pairs(table, num, den, least)
@@ -187,6 +191,7 @@ def _dense(num: int, den: int):
     the shingles that members share. Links inside a component found so far are not repeated, so a block gives fewer
     links than it has rows."""
 
+    @R.trimmed
     def run(batches):
         for table in _groups(batches, KEYS):
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()

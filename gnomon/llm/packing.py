@@ -82,11 +82,12 @@ def cuts(n: int, most: int = MOST) -> list[tuple[int, int]]:
 
 
 def _cut(path: str, kind: str, most: int, end: int, ids: bool):
+    @R.trimmed
     def run(batches):
         enc = encoder(path, kind)
         for batch in batches:
             data, offs = T.text_bytes(batch.column(1))
-            for i, j in T.slices(offs, 4 << 20):
+            for i, j in T.slices(offs):
                 got, first = with_ends(*enc.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), end)
                 row, piece, start, length, crc, held = [], [], [], [], [], []
                 for r in range(j - i):
@@ -127,6 +128,7 @@ def pack(spark: SparkSession, cut: DataFrame, most: int = MOST) -> DataFrame:
     ranked = ranked.withColumn("__rank", (F.col("__before") + F.col("__local")).cast("long")).select(*names)
     at = names.index("length")
 
+    @R.trimmed
     def run(batches):
         t = shared.value
         span = int(t[:, 1].max(initial=0) + t[:, 2].max(initial=0)) + 1

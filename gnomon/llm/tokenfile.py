@@ -243,6 +243,7 @@ SCHEMA = "shard int, record long, first long, doc_ids array<{0}>, lengths array<
 
 
 def _written(path: str, kind: str, end: int, id_type: pa.DataType):
+    @R.trimmed
     def run(batches):
         from pyspark import TaskContext
 
@@ -266,7 +267,7 @@ def _written(path: str, kind: str, end: int, id_type: pa.DataType):
 
         for batch in batches:
             data, offs = T.text_bytes(batch.column(1))
-            for i, j in T.slices(offs, 4 << 20):
+            for i, j in T.slices(offs):
                 ids, first = with_ends(*enc.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), end)
                 at = 0
                 while at < j - i:

@@ -145,6 +145,7 @@ def score(spark: SparkSession, docs: DataFrame, machine: Machine | None, id_col:
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(machine)  # SLOTS and features bound its size
 
+    @R.trimmed
     def run(batches):
         for batch in batches:
             data, offs = T.text_bytes(batch.column(1))
@@ -163,6 +164,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
     shared = spark.sparkContext.broadcast(machine)
     names, at = docs.columns, docs.columns.index("text")
 
+    @R.trimmed
     def run(batches):
         for batch in batches:
             data, offs = T.text_bytes(batch.column(at))

@@ -178,6 +178,7 @@ def transducer(path: str) -> Transducer:
 
 
 def _encoded(path: str):
+    @R.trimmed
     def run(batches):
         t = transducer(path)
         for batch in batches:
@@ -188,6 +189,7 @@ def _encoded(path: str):
 
 
 def _digested(path: str):
+    @R.trimmed
     def run(batches):
         t = transducer(path)
         for batch in batches:
@@ -211,6 +213,7 @@ def decode(spark: SparkSession, rows: DataFrame, path: str, id_col: str = "doc_i
     """(id, text) from (id, ids)."""
     rows = rows.select(F.col(id_col).alias("id"), "ids")
 
+    @R.trimmed
     def run(batches):
         t = transducer(path)
         for batch in batches:

@@ -108,6 +108,7 @@ def _packed(spark: SparkSession, rows: DataFrame, size: int, name: str) -> tuple
 
 
 def _tiles(k: int):
+    @R.trimmed
     def run(batches):
         for batch in batches:
             for qi, qv, ci, cv, dim in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
