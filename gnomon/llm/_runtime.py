@@ -11,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,10 +92,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def trimmed(run):
     """run, a function of Arrow batches, giving freed memory back to the system when a task ends: workers stay alive
-    between stages, and what one stage needed must not add up with what the next one needs."""
+    between stages, and what one stage needed must not add up with what the next one needs. Arrow and the C library
+    keep freed memory apart from each other."""
 
     def held(batches):
         yield from run(batches)
+        pa.default_memory_pool().release_unused()
         if sys.platform == "linux":
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
             if trim is not None:

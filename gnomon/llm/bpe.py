@@ -12,8 +12,8 @@ import numpy as np
 
 from gnomon.llm import _text as T
 
-#: Parts whose ids a worker keeps; a matter of speed alone.
-KEPT = 2_000_000
+#: Parts whose ids a worker keeps before it starts afresh; bounds its memory, a matter of speed alone.
+KEPT = 400_000
 _rng = np.random.Generator(np.random.PCG64(99))
 _EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LETTER, DIGIT, SIGN, WHITE, FOREIGN = 0, 1, 2, 3, 4
