@@ -242,6 +242,42 @@ def test_backoff(spark, odd, none):
     assert backoff.score(spark, odd.where("doc_id < 6"), order=3).count() == 6
 
 
+def test_backoff_against_brute_force(spark, odd):
+    rows = odd.where("doc_id is not null").orderBy("doc_id").collect()
+    texts = [(r["doc_id"], re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))) for r in rows]
+    counts = {}
+    for _, w in texts:
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                key = tuple(w[i : i + n])
+                counts[key] = counts.get(key, 0) + 1
+    total = sum(len(w) for _, w in texts)
+
+    def s(gram):
+        if len(gram) == 1:
+            return counts[gram] / total
+        return counts[gram] / counts[gram[:-1]] if counts[gram] >= 2 else 0.4 * s(gram[1:])
+
+    want = {}
+    for i, w in texts:
+        n, held = want.get(i, (0, 0.0))
+        want[i] = n + len(w), held + sum(np.log(s(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w)))
+    for most in (backoff.SLICE, 1000, 7):  # texts are cut at any size of a slice
+        if most == 7:
+            texts_of = odd.where("doc_id is not null and doc_id <> 9 and doc_id <> 13")
+        else:
+            texts_of = odd.where("doc_id is not null")
+        got = backoff.score(spark, texts_of, order=3, slice_words=most).collect()
+        if most == 7:
+            base = {r["doc_id"]: r["log_score"] for r in backoff.score(spark, texts_of, order=3).collect()}
+            assert {r["doc_id"]: r["log_score"] for r in got} == base
+            continue
+        assert {r["doc_id"]: r["n_words"] for r in got} == {i: n for i, (n, _) in want.items()}
+        for r in got:
+            n, held = want[r["doc_id"]]
+            assert r["log_score"] is None if not n else abs(r["log_score"] - held / n) < 2e-6
+
+
 def brute_log(word, prob, place):
     total = [1.0] + [0.0] * len(word)
     for j in range(1, len(word) + 1):
