@@ -33,18 +33,18 @@ from gnomon.llm import _text as T
 #: Longest n-grams, factor of a step back, and the least count of an n-gram that is used.
 ORDER, ALPHA, LEAST = 2, 0.4, 2
 #: Words and rows of a slice; n-grams, counted once a slice, that a range of hashes holds on average.
-SLICE, SLICE_ROWS, RANGE = 1 << 21, 1 << 16, 1 << 21
+SLICE, SLICE_ROWS, RANGE = 1 << 20, 1 << 16, 1 << 20
 _U32 = np.uint64(32)
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Unsigned 64-bit counts, byte planes apart: high bytes are nearly all zero."""
-    return zlib.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+def _packed(values: np.ndarray, size: int = 8) -> bytes:
+    """Unsigned integers of `size` bytes, byte planes apart: high bytes are nearly all zero."""
+    return zlib.compress(values.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes(), 1)
 
 
-def _unpacked(held: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(held), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+def _unpacked(held: bytes, size: int = 8) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(held), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel()
 
 
 def _sliced(order: int, id_type: pa.DataType, most: int):
@@ -64,14 +64,17 @@ def _sliced(order: int, id_type: pa.DataType, most: int):
 
         def flush():
             nonlocal number, hashes, ids, lengths, context, waiting
-            vocabulary, words = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
+            vocabulary, words, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True, return_counts=True)
+            common = np.argsort(-times, kind="stable")  # common words get small numbers, which pack well
+            place = np.empty(len(common), np.uint32)
+            place[common] = np.arange(len(common), dtype=np.uint32)
             row = {
                 "slice": pa.array([number], pa.int64()),
                 "ids": pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(ids)),
                 "lengths": pa.array([lengths], pa.list_(pa.int64())),
                 "context": pa.array([context], pa.list_(pa.int64())),
-                "vocabulary": pa.array([vocabulary.tobytes()], pa.binary()),
-                "words": pa.array([words.astype("<u2" if len(vocabulary) <= 1 << 16 else "<u4").tobytes()], pa.binary()),
+                "vocabulary": pa.array([vocabulary[common].tobytes()], pa.binary()),
+                "words": pa.array([_packed(place[words], 4)], pa.binary()),
             }
             number, hashes, ids, lengths, context, waiting = number + 1, [], [], [], [], 0
             return pa.record_batch(list(row.values()), names=list(row))
@@ -105,10 +108,10 @@ class _Grams:
 
     def __init__(self, order: int, lengths: list, context: list, vocabulary: bytes, words: bytes):
         vocab = np.frombuffer(vocabulary, np.uint64)
-        at = np.frombuffer(words, "<u2" if len(vocab) <= 1 << 16 else "<u4")
+        at = _unpacked(words, 4)
         size, skip = np.array(lengths, np.int64), np.array(context, np.int64)
-        part = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)  # number of the word in its part
+        part = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        place = np.arange(len(at), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)  # number of the word in its part
         self.part, self.counted, self.room = part, place >= skip[part], place + 1
         word = T.mix(vocab)[at]
         self.keys, self.which, key = [], [], word
@@ -119,7 +122,7 @@ class _Grams:
                 key = T.mix(moved * T.BASE + word)
             full = self.room >= n
             found, inverse = np.unique(key[full], return_inverse=True)
-            which = np.full(len(at), -1, np.int64)
+            which = np.full(len(at), -1, np.int32)
             which[full] = inverse
             self.keys.append(found), self.which.append(which)
 
