@@ -8,7 +8,7 @@ Relations: words are cut into slices of a bounded number of words. Each slice's
 tables that are partitioned by ranges of the 64-bit hash, where the counts of all slices are added. The join back needs
 no keys: a slice gets, from each range, the corpus counts of its n-grams in the order of their hashes, makes its own list
 of n-grams again and so has a count for each. A history's count is that of the n-gram that ends one word before. Rows of
-both relations hold packed arrays, so what moves is eight bytes for each different n-gram of a slice, and counts.
+both relations hold packed arrays, so what moves is a slice's different hashes, as the steps between them, and counts.
 
 A common n-gram is in a slice's row once at most; a long text is cut between words, each part with the few words before
 it. The number of ranges follows the number of words, so no task's memory grows with the input.
@@ -47,6 +47,21 @@ def _unpacked(held: bytes, size: int = 8) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel()
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit hashes: the first, a byte with the size of a step, and the steps in so many bytes."""
+    d = np.diff(keys).astype("<u8")
+    size = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
+    return keys[:1].astype("<u8").tobytes() + bytes([size]) + d.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _unstepped(held: bytes) -> np.ndarray:
+    size = held[8]
+    d = np.frombuffer(held, np.uint8, offset=9).reshape(-1, size)
+    wide = np.zeros((len(d) + 1, 8), np.uint8)
+    wide[0], wide[1:, :size] = np.frombuffer(held, np.uint8, 8), d
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _sliced(order: int, id_type: pa.DataType, most: int):
     """Rows of (slice, ids, lengths, context, vocabulary, words): word numbers of all parts, one part an id. The first
     `context` words of a part belong to the part before."""
@@ -152,7 +167,7 @@ def _counted(order: int, ranges: int):
                     own, first = np.unique(_range_of(keys, ranges), return_index=True)
                     spans = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
                     cols = [pa.array(own, pa.int32()), pa.array(np.full(len(own), number), pa.int64()), pa.array(np.full(len(own), n), pa.int32())]
-                    cols += [pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([_packed(times[a:b]) for a, b in spans], pa.binary())]
+                    cols += [pa.array([_steps(keys[a:b]) for a, b in spans], pa.binary()), pa.array([_packed(times[a:b]) for a, b in spans], pa.binary())]
                     yield pa.record_batch(cols, names=["range", "slice", "n", "keys", "times"])
 
     return run
@@ -164,7 +179,7 @@ def _added(table: pa.Table) -> pa.Table:
     lengths = np.asarray(table["n"])
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
-        keys = [np.frombuffer(table["keys"][int(r)].as_py(), np.uint64) for r in rows]
+        keys = [_unstepped(table["keys"][int(r)].as_py()) for r in rows]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(every), np.uint64)
         np.add.at(total, inverse, np.concatenate([_unpacked(table["times"][int(r)].as_py()) for r in rows]))
