@@ -41,35 +41,47 @@ _p = (np.arange(4096) + 0.5) / 4096
 _STRETCH = np.clip(np.round(256 * np.log(_p / (1 - _p))), -2047, 2047).astype(np.int64)
 
 
+_THREE = np.arange(3)[:, None]
+_SHIFT = np.array([4, 5])[:, None, None]
+
+
 class _Model:
-    """Predictions and their probabilities in each lane."""
+    """Predictions and their probabilities in each lane. A table's entry is an id and, in its low two bits, how sure."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, wide: bool):
+        kind = np.int64 if wide else np.int32  # of ids; those of 16 bits fit the smaller with room for the two bits
         self.lane = np.arange(lanes)
-        self.id = [np.full(lanes * n, -1, np.int64) for n in (SLOTS, SLOTS, 256)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]
-        self.own = np.full((3, lanes, 8), 1 << 14, np.int64)
-        self.past = np.full((3, lanes, 16), 1 << 14, np.int64)
+        self.slot, self.low = self.lane * SLOTS, self.lane * 256
+        self.entry = [np.full(lanes * SLOTS, -4, kind) for _ in range(2)]
+        self.zero = np.full(lanes * 256, -1, kind)
+        # Chances of each order by its confidence (8 of them) and by what held before (16), of all lanes.
+        self.chance = np.full(3 * lanes * 24, 1 << 14, np.int64)
+        self.base = (_THREE * lanes + self.lane) * 24
         self.weight = np.full((2, 3, lanes), 1 << 15, np.int64)
         self.before, self.last, self.history = (np.zeros(lanes, np.int64) for _ in range(3))
 
     def predict(self, m: int) -> np.ndarray:
-        """Upper ends, in 65536ths, of the intervals of "order two holds", "order one holds", "order zero holds"."""
-        a, b, lane = self.last[:m], self.before[:m], self.lane[:m]
-        self.at = [
-            lane * SLOTS + (((a * 40503 + b * 2654435761) >> 7) & (SLOTS - 1)),
-            lane * SLOTS + ((a * 2654435761 >> 11) & (SLOTS - 1)),
-        ]
-        self.guess = [self.id[k][self.at[k]] for k in range(2)]
-        self.conf = [self.sure[k][self.at[k]] for k in range(2)]
-        self.key = np.stack([self.conf[0], self.conf[1] + 4 * (self.guess[0] == self.guess[1]), self.history[:m] & 7])
-        three = np.arange(3)[:, None]
-        self.index = (three, lane[None, :], self.key), (three, lane[None, :], np.broadcast_to(self.history[:m], (3, m)))
-        self.p_own, self.p_past = self.own[self.index[0]], self.past[self.index[1]]
-        self.st = _STRETCH[self.p_own >> 4], _STRETCH[self.p_past >> 4]
-        dot = (self.weight[0, :, :m] * self.st[0] + self.weight[1, :, :m] * self.st[1]) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        ends = np.empty((3, m), np.int64)
+        """Bounds, in 65536ths, of the intervals of "order two holds", "order one holds", "order zero holds", "none"."""
+        a, b, slot, history = self.last[:m], self.before[:m], self.slot[:m], self.history[:m]
+        step = a * 2654435761
+        self.at = [slot + (((a * 40503 + b * 2654435761) >> 7) & (SLOTS - 1)), slot + ((step >> 11) & (SLOTS - 1))]
+        self.held = [self.entry[k].take(self.at[k], mode="wrap") for k in range(2)]
+        self.guess = [h >> 2 for h in self.held]
+        index = np.empty((2, 3, m), np.int64)
+        base = self.base[:, :m]
+        np.bitwise_and(self.held[0], 3, out=index[0, 0])
+        index[0, 1] = (self.held[1] & 3) + 4 * (self.guess[0] == self.guess[1])
+        np.bitwise_and(history, 7, out=index[0, 2])
+        index[0] += base
+        np.add(base, history + 8, out=index[1])
+        self.index, self.was = index, self.chance.take(index, mode="wrap")
+        self.st = _STRETCH.take(self.was >> 4, mode="wrap")
+        dot = (self.weight[:, :, :m] * self.st).sum(axis=0) >> 16
+        np.clip(dot, -2047, 2047, out=dot)
+        dot += 2047
+        self.p = _SQUASH.take(dot, mode="wrap")
+        bounds = np.empty((5, m), np.int64)
+        bounds[0], bounds[4], ends = 0, 65536, bounds[1:4]
         ends[0] = self.p[0]
         ends[1] = ends[0] + ((65536 - ends[0]) * self.p[1] >> 16)
         ends[2] = ends[1] + ((65536 - ends[1]) * self.p[2] >> 16)
@@ -77,22 +89,20 @@ class _Model:
         ends[1] = np.minimum(ends[1], 65534)
         ends[1] = np.maximum(ends[1], ends[0] + 1)
         ends[2] = np.maximum(ends[2], ends[1] + 1)
-        return ends
+        return bounds
 
     def update(self, m: int, ids: np.ndarray, symbol: np.ndarray) -> None:
-        lane = self.lane[:m]
-        tried = np.arange(3)[:, None] <= symbol
-        held = np.arange(3)[:, None] == symbol
-        goal = held * 65535
-        miss = np.where(tried, goal - self.p, 0)
-        self.weight[:, :, :m] += np.stack([self.st[0] * miss, self.st[1] * miss]) >> 14
-        self.own[self.index[0]] = self.p_own + np.where(tried, (goal - self.p_own) >> 4, 0)
-        self.past[self.index[1]] = self.p_past + np.where(tried, (goal - self.p_past) >> 5, 0)
+        tried, goal = _THREE <= symbol, (_THREE == symbol) * 65535
+        self.weight[:, :, :m] += self.st * ((goal - self.p) * tried) >> 14
+        self.was += ((goal - self.was) >> _SHIFT) * tried
+        self.chance[self.index.ravel()] = self.was.ravel()
         for k in range(2):
-            right, sure = self.guess[k] == ids, self.conf[k]
-            self.id[k][self.at[k]] = np.where(right | (sure > 0), self.guess[k], ids)
-            self.sure[k][self.at[k]] = np.where(right, np.minimum(sure + 1, 3), np.maximum(sure - 1, 0))
-        self.id[2][lane * 256 + (ids & 255)] = ids
+            held = self.held[k]
+            sure = held & 3
+            right = self.guess[k] == ids
+            missed = np.where(sure > 0, held - 1, ids << 2)
+            self.entry[k][self.at[k]] = np.where(right, held + (sure < 3), missed)
+        self.zero[self.low[:m] + (ids & 255)] = ids
         self.before[:m] = self.last[:m]
         self.last[:m] = ids
         self.history[:m] = (self.history[:m] << 2 & 12) | symbol
@@ -108,19 +118,18 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     grid = np.zeros((int(size[0]), lanes), np.int64)
     for k, i in enumerate(order):
         grid[: size[k], k] = blocks[i]
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
     wide = np.array([int(blocks[i].max()) > 65535 for i in order])
+    model = _Model(lanes, bool(wide.any()))
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
     out, used = np.zeros((lanes, 2 * int(size[0]) + 64), np.uint16), np.zeros(lanes, np.int64)
 
-    def put(m: int, start, freq) -> None:
+    def put(hit: np.ndarray, start, freq) -> None:
         nonlocal out
-        r = span[:m] >> 16
-        low[:m] += start * r
-        span[:m] = r * freq
-        hit = np.arange(m)
+        s = span.take(hit, mode="wrap")
+        r = s >> 16
+        a, s = low.take(hit, mode="wrap") + start * r, r * freq
+        low[hit], span[hit] = a, s
         while True:
-            a, s = low[hit], span[hit]
             same = ((a & _MASK) ^ ((a + s) & _MASK)) < _TOP
             same &= (a + s) <= _MASK
             go = same | (s < _BOT)
@@ -132,21 +141,26 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
                 out = np.concatenate([out, np.zeros_like(out)], axis=1)
             out[hit, used[hit]] = a >> 32
             used[hit] += 1
-            low[hit], span[hit] = (a << 16) & _MASK, s << 16
+            a, s = (a << 16) & _MASK, s << 16
+            low[hit], span[hit] = a, s
 
     for t in range(int(size[0])):
         m = int(np.searchsorted(-size, -t, "left"))
         ids = grid[t, :m]
-        ends = model.predict(m)
-        zero = model.id[2][model.lane[:m] * 256 + (ids & 255)]
-        symbol = np.where(model.guess[0] == ids, 0, np.where(model.guess[1] == ids, 1, np.where(zero == ids, 2, 3)))
-        bounds = np.vstack([np.zeros((1, m), np.int64), ends, np.full((1, m), 65536)])
-        start = np.take_along_axis(bounds, symbol[None, :], 0)[0]
-        put(m, start, np.take_along_axis(bounds, symbol[None, :] + 1, 0)[0] - start)
-        put(m, np.select([symbol < 2, symbol == 2], [0, (ids & 255) << 8], ids & 65535), np.select([symbol < 2, symbol == 2], [65536, 256], 1))
-        if wide[:m].any():
-            full = wide[:m] & (symbol == 3)
-            put(m, np.where(full, ids >> 16, 0), np.where(full, 1, 65536))
+        bounds = model.predict(m)
+        zero = model.zero[model.low[:m] + (ids & 255)]
+        no0, no1, no2 = model.guess[0] != ids, model.guess[1] != ids, zero != ids
+        symbol = no0 * (1 + no1 * (1 + no2.astype(np.int64)))
+        at = symbol * m + model.lane[:m]
+        start, end = bounds.take(at, mode="wrap"), bounds.take(at + m, mode="wrap")
+        put(model.lane[:m], start, end - start)
+        rest = np.flatnonzero(symbol >= 2)  # lanes whose id isn't known yet: its low byte, or all of it
+        if len(rest):
+            byte, own = symbol[rest] == 2, ids[rest]
+            put(rest, np.where(byte, (own & 255) << 8, own & 65535), np.where(byte, 256, 1))
+            full = rest[wide[rest] & ~byte]
+            if len(full):
+                put(full, ids[full] >> 16, 1)
         model.update(m, ids, symbol)
     made: list[bytes] = [b""] * lanes
     for k, i in enumerate(order):
@@ -182,23 +196,22 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
     for k, i in enumerate(order):
         w = np.frombuffer(blocks[i], "<u2", heads[i][1], 16)
         words[k, : len(w)] = w
-    model = _Model(lanes)
+    model = _Model(lanes, bool(wide.any()))
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
     code = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]
     used = np.full(lanes, 3)
     grid = np.zeros((int(size[0]), lanes), np.int64)
     last = words.shape[1] - 1
 
-    def target(m: int) -> np.ndarray:
-        return np.minimum(((code[:m] - low[:m]) & _MASK) // (span[:m] >> 16), 65535)
+    def target(hit: np.ndarray) -> np.ndarray:
+        return np.minimum(((code[hit] - low[hit]) & _MASK) // (span[hit] >> 16), 65535)
 
-    def take(m: int, start, freq) -> None:
-        r = span[:m] >> 16
-        low[:m] += start * r
-        span[:m] = r * freq
-        hit = np.arange(m)
+    def take(hit: np.ndarray, start, freq) -> None:
+        s = span.take(hit, mode="wrap")
+        r = s >> 16
+        a, s = low.take(hit, mode="wrap") + start * r, r * freq
+        low[hit], span[hit] = a, s
         while True:
-            a, s = low[hit], span[hit]
             same = ((a & _MASK) ^ ((a + s) & _MASK)) < _TOP
             same &= (a + s) <= _MASK
             go = same | (s < _BOT)
@@ -208,26 +221,28 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
             s = np.where(same, s, np.minimum(s, _BOT - (a & (_BOT - 1))))
             code[hit] = ((code[hit] << 16) & _MASK) | words[hit, np.minimum(used[hit], last)]
             used[hit] += 1
-            low[hit], span[hit] = (a << 16) & _MASK, s << 16
+            a, s = (a << 16) & _MASK, s << 16
+            low[hit], span[hit] = a, s
 
     for t in range(int(size[0])):
         m = int(np.searchsorted(-size, -t, "left"))
-        ends = model.predict(m)
-        v = target(m)
-        symbol = (v >= ends).sum(axis=0)
-        bounds = np.vstack([np.zeros((1, m), np.int64), ends, np.full((1, m), 65536)])
-        start = np.take_along_axis(bounds, symbol[None, :], 0)[0]
-        take(m, start, np.take_along_axis(bounds, symbol[None, :] + 1, 0)[0] - start)
-        v = target(m)
-        bucket = v >> 8
-        take(m, np.select([symbol < 2, symbol == 2], [0, bucket << 8], v), np.select([symbol < 2, symbol == 2], [65536, 256], 1))
-        zero = model.id[2][model.lane[:m] * 256 + bucket]
-        ids = np.select([symbol == 0, symbol == 1, symbol == 2], [model.guess[0], model.guess[1], zero], v)
-        if wide[:m].any():
-            full = wide[:m] & (symbol == 3)
-            high = target(m)
-            take(m, np.where(full, high, 0), np.where(full, 1, 65536))
-            ids = np.where(full, ids | (high << 16), ids)
+        bounds = model.predict(m)
+        v = target(model.lane[:m])
+        symbol = (v >= bounds[1:4]).sum(axis=0)
+        at = symbol * m + model.lane[:m]
+        start, end = bounds.take(at, mode="wrap"), bounds.take(at + m, mode="wrap")
+        take(model.lane[:m], start, end - start)
+        ids = np.where(symbol == 0, model.guess[0], model.guess[1]).astype(np.int64)
+        rest = np.flatnonzero(symbol >= 2)
+        if len(rest):
+            byte, v = symbol[rest] == 2, target(rest)
+            take(rest, np.where(byte, v & 0xFF00, v), np.where(byte, 256, 1))
+            ids[rest] = np.where(byte, model.zero[model.low[rest] + (v >> 8)], v)
+            full = rest[wide[rest] & ~byte]
+            if len(full):
+                high = target(full)
+                take(full, high, 1)
+                ids[full] |= high << 16
         model.update(m, ids, symbol)
         grid[t, :m] = ids
     made: list = [None] * lanes
