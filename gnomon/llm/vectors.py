@@ -3,9 +3,9 @@
 Vectors are dealt into blocks; a tile is a block of queries against a block of candidates. Both sides are quantised to
 int8 with one scale a vector, and a tile's matrix product gives approximate distances. The quantisation error of each
 vector is known exactly, so by the triangle inequality the true distance lies within the sum of the two errors of the
-approximate one. A candidate whose lower bound exceeds the k-th smallest upper bound of its query in the tile can't be
-among the query's k nearest; the others are computed anew in double precision on the original vectors, and a heap of k
-of each tile goes on. The heaps of a query meet by pre-aggregation. Every row is compared with every query: recall 1.
+approximate one. A candidate whose lower bound exceeds the k-th smallest upper bound of its query in the tile, one bound
+(the least) for each candidate id, can't be among the query's k nearest; the others are computed anew in double precision
+on the original vectors, and a heap of k of each tile goes on. The heaps of a query meet by pre-aggregation. Every row is compared with every query: recall 1.
 
 Blocks are dealt by row number, so repeated ids or vectors never gather in one block. Blocks are numbered densely and
 met by an equality join on the candidates' block number; nothing is broadcast whose size grows with the data.
@@ -55,7 +55,12 @@ def nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: i
     slack = (ea[:, None] + eb[None, :]) * (1 + 1e-9) + 1e-6 * np.sqrt(na[:, None] + nb[None, :])
     high = near + slack
     high[qid[:, None] == cid[None, :]] = np.inf
-    n = len(cid)
+    # A repeated id takes one of the k places, so its rows count as one, at their least bound.
+    order = np.argsort(cid, kind="stable")
+    first = np.flatnonzero(np.diff(cid[order], prepend=cid[order[0]] - 1)) if len(cid) else order
+    n = len(first)
+    if n < len(cid):
+        high = np.minimum.reduceat(high[:, order], first, axis=1)
     cut = np.partition(high, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(qid), np.inf)
     out = []
     for r in range(len(qid)):

@@ -161,6 +161,25 @@ def test_vectors(spark):
     assert vectors.search(spark, few.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 10, 300])
+def test_vectors_repeated_ids(copies):
+    """Rows that repeat an id nearer than all others leave k - 1 places to other ids."""
+    rng = np.random.default_rng(5)
+    k, q = 10, rng.normal(size=(3, 16))
+    far = q[0] + rng.normal(size=(40, 16))
+    c = np.concatenate([np.repeat(q[:1] + 0.01, copies, 0), far, q])
+    cid = np.concatenate([np.full(copies, 7), 100 + np.arange(40), np.arange(3)])
+    shuffled = rng.permutation(len(cid))
+    got = vectors.nearest(np.arange(3), q, cid[shuffled], c[shuffled], k)
+    for r in range(3):
+        least: dict[int, float] = {}
+        for i, d in zip(cid.tolist(), np.sqrt(((c - q[r]) ** 2).sum(axis=1)).tolist(), strict=True):
+            if i != r:
+                least[i] = min(d, least.get(i, np.inf))
+        want = sorted(least, key=lambda i: (least[i], i))[:k]
+        assert [i for p, _, i in sorted(got) if p == r] == want
+
+
 def test_packing_plan():
     rng = np.random.default_rng(2)
     counts = {int(n): int(c) for n, c in zip(rng.integers(1, 1025, 60), rng.integers(1, 40, 60), strict=True)}
