@@ -2,8 +2,8 @@
 
 A text is cut where the vocabulary's own pattern cuts, by array operations over the bytes of many texts at once; the
 parts are told apart by 64-bit hashes, and the library's model encodes each part that a worker has not met before.
-The array way knows ASCII and the letters of Latin-1; a text with any other character goes to the library whole. The
-ids are the same either way.
+The array way knows ASCII and the letters of Latin-1; a text with any other character, or with the text of one of the
+vocabulary's added tokens (which has an id of its own there), goes to the library whole. The ids are the same either way.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.model, self.word, self.shown = self.library.model, kind == "word", _printable()
         self.forget()
 
@@ -50,6 +50,20 @@ class Encoder:
     def direct(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _with_added(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Rows that contain the text of an added token."""
+        held, rows = data.tobytes(), set()
+        for token in self.added:
+            at = held.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offs, at, "right")) - 1
+                if at + len(token) <= offs[row + 1]:
+                    rows.add(row)
+                    at = held.find(token, int(offs[row + 1]))
+                else:
+                    at = held.find(token, at + 1)
+        return np.array(sorted(rows), np.int64)
+
     def _parts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the parts, and whether one is white space."""
         n = len(data)
@@ -91,6 +105,7 @@ class Encoder:
         bad[1:] &= ~lead[:-1]
         bad[:-1] |= lead[:-1] & ((data[1:] == 0x97) | (data[1:] == 0xB7))
         foreign = np.unique(np.searchsorted(offs, np.flatnonzero(bad), "right") - 1) if bad.any() else np.zeros(0, np.int64)
+        foreign = np.union1d(foreign, self._with_added(data, offs))
         size_of = np.zeros(rows, np.int64)
         whole: dict[int, np.ndarray] = {}
         for r in foreign.tolist():

@@ -145,6 +145,25 @@ def test_token_file(spark, docs, none, tmp_path):
     assert tokenfile.read(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_added_tokens(spark, tmp_path):
+    """Texts that hold the text of an added token, against the tokenizers exactly as loaded."""
+    from tokenizers import Tokenizer
+
+    texts = ["plain <|endoftext", "|> after", "end <|endoftext|> more", "<|endoftext|>", "a  <|startoftext|>  b<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "été <|endoftext|>", "日本 <|endoftext|> 語", "", None, "it's <|endoftext|>'s 12"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    R.prepare(spark)
+    for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        t = Tokenizer.from_file(P.path(name))
+        want = [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+        got = {r["id"]: (r["length"], r["ids_crc32"]) for r in packing.pieces(spark, docs, P.path(name), kind).collect()}
+        assert got == {i: (len(x), crc(x)) for i, x in enumerate(want)}
+        if kind == "word":
+            tokenfile.write(spark, docs, f"{tmp_path}/added", P.path(name))
+            rows = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.read(spark, f"{tmp_path}/added").collect()}
+            at = np.concatenate([[0], np.cumsum([len(x) for x in want])]).tolist()
+            assert rows == {i: (at[i], len(x), crc(x)) for i, x in enumerate(want)}
+
+
 def test_vectors(spark):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
