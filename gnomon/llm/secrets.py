@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from labelled
-samples. A run of token characters whose log-likelihood ratio says "random" becomes a span of kind `markov`; spans of
-the fixed patterns always stay. Everything is DataFrame expressions; there is no shuffle, so no key can be hot.
+samples. A run of token characters whose log-likelihood ratio says "random" becomes a span of kind `markov`, unless spans
+of the fixed patterns, which always stay, cover it wholly; one that reaches beyond them stays beside them. Everything is DataFrame expressions; there is no shuffle, so no key can be hot.
 
 Defined results: a null text is empty and has no spans; other columns, whatever their names, pass through `scan`
 untouched except those that it adds, which replace columns of the same name; offsets are code points, end exclusive.
@@ -170,7 +170,8 @@ def scan(spark: SparkSession, docs: DataFrame, text_col: str = "text", model: li
     judged = lambda m: (ratio(m, model) >= LEAST_RATIO) & (ratio(m, model) >= LEAST_RATIO_PER_CHAR * F.length(m))
     df = _found(df, "__text", CANDIDATE, len(BASE), "markov", "__k3", judged)
     df = df.withColumn("base_spans", F.array_sort(F.concat("__k0", "__k1", "__k2")))
-    apart = "filter(__k3, m -> not exists(base_spans, b -> b.start < m.end and m.start < b.end))"
+    # How far the base spans, which come by start, cover a run without a gap.
+    apart = "filter(__k3, m -> aggregate(base_spans, m.start, (a, b) -> if(b.start <= a, greatest(a, b.end), a)) < m.end)"
     df = df.withColumn("all_spans", F.array_sort(F.concat("base_spans", F.expr(apart))))
     return df.drop("__text", "__k0", "__k1", "__k2", "__k3")
 
