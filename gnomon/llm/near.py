@@ -1,14 +1,15 @@
 """Near-duplicates by min-max hashing: one hash evaluation gives two signature values, the least and the largest.
 
-One pass over the texts writes, per document, the size of its shingle set, a 128-bit fingerprint of the set, 32 band
-keys and one byte of each signature value. Documents with equal sets form a class; only one of each class goes on.
+One pass over the texts writes, per document, the size of its shingle set, a 128-bit fingerprint of the set, its band
+keys and one byte of each signature value. The number of bands follows from the threshold (`bands_for`). Documents with equal sets form a class; only one of each class goes on.
 
 Candidates, round one: in each bucket of a band the smallest id is the hub, and every other member is paired with it,
 so a bucket of m gives m - 1 pairs. Pairs are confirmed on full sets, and confirmed links make components. Round two:
 buckets that still hold several components are searched block by block for pairs across components whose signatures
 agree often enough for the threshold (six standard deviations of slack); these are confirmed as well. So no member of
 a bucket is skipped, nothing is capped, and no group's pairs are emitted wholesale. A link at the threshold itself
-shares no bucket with probability below 1e-6.
+shares no bucket with probability below 1e-6, whatever the size of the sets; only unequal sets that share one single
+shingle (possible at thresholds of one half or less) never do.
 
 Defined results: null and empty texts, and texts of white space, have an empty set and link with nothing; rows with a
 null id get a null component and stay; rows that repeat an id are one node, and all stay if that node does; other
@@ -17,6 +18,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,31 +31,53 @@ from gnomon.llm import _runtime as R
 from gnomon.llm import _text as T
 from gnomon.llm.graph import components
 
-#: Bands of a signature, and hash evaluations in a band (two values each).
-BANDS, PER_BAND = 32, 3
-HASHES = BANDS * PER_BAND
+#: Least number of bands of a signature, hash evaluations in a band (two values each), and the chance of a link at the
+#: threshold to share no bucket.
+LEAST_BANDS, PER_BAND, MISS = 32, 3, 1e-6
 #: Members of a block when buckets are searched in round two.
 BLOCK = 512
 
-_rng = np.random.Generator(np.random.PCG64(77))
-_XOR = _rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64)
-_MUL = _rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BANDED = _rng.integers(0, 1 << 63, (BANDS, 2 * PER_BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+def agreement(both: int, union: int) -> float:
+    """Probability that two sets agree in the minimum and the maximum of a hash function."""
+    return both * (both - 1) / (union * (union - 1))
 
-def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+@functools.cache
+def bands_for(num: int, den: int) -> int:
+    """Bands with which a link at the threshold num / den, or the nearest one above it that a union of any size can
+    have, shares no bucket with probability below MISS."""
+    # The agreement nears (num / den) ** 2 as unions grow and is less only where they are small.
+    sizes = ((-(-num * u // den), u) for u in range(2, 4096))
+    least = min([(num / den) ** 2, *(agreement(i, u) for i, u in sizes if 1 < i < u)])
+    if least >= 1:
+        return LEAST_BANDS
+    return max(LEAST_BANDS, math.floor(math.log(MISS) / math.log1p(-(least**PER_BAND))) + 1)
+
+
+@functools.cache
+def _random(bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64(77))
+    n, odd = bands * PER_BAND, np.uint64(1)
+    xor = rng.integers(0, 1 << 63, (n, 1), dtype=np.uint64)
+    mul = rng.integers(0, 1 << 63, (n, 1), dtype=np.uint64) * np.uint64(2) + odd
+    return xor, mul, rng.integers(0, 1 << 63, (bands, 2 * PER_BAND), dtype=np.uint64) * np.uint64(2) + odd
+
+
+def signature(shingles: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
     """Minimum and maximum of the set under each hash function."""
+    xor, mul, _ = _random(bands)
     low = high = None
     for i in range(0, len(shingles), 1024):
-        h = (shingles[None, i : i + 1024] ^ _XOR) * _MUL
+        h = (shingles[None, i : i + 1024] ^ xor) * mul
         lo, hi = h.min(axis=1), h.max(axis=1)
         low, high = (lo, hi) if low is None else (np.minimum(low, lo), np.maximum(high, hi))
     return low, high
 
 
-def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    values = T.mix(np.concatenate([low.reshape(BANDS, PER_BAND), high.reshape(BANDS, PER_BAND)], axis=1))
-    return T.mix((values * _BANDED).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def band_keys(low: np.ndarray, high: np.ndarray, bands: int) -> np.ndarray:
+    values = T.mix(np.concatenate([low.reshape(bands, PER_BAND), high.reshape(bands, PER_BAND)], axis=1))
+    return T.mix((values * _random(bands)[2]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -65,7 +89,7 @@ def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
             yield batch.slice(i, j - i), [T.row_shingles(hashes[first[r] : first[r + 1]], k) for r in range(j - i)]
 
 
-def _signed(k: int):
+def _signed(k: int, bands: int):
     @R.trimmed
     def run(batches):
         for batch, sets in _each(batches, k):
@@ -75,11 +99,11 @@ def _signed(k: int):
                 if not len(s):
                     one.append(None), two.append(None), keys.append(None), sig.append(None)
                     continue
-                low, high = signature(s)
+                low, high = signature(s, bands)
                 print_ = T.mix(s * T.ORDER[0])
                 one.append(int(print_.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(np.bitwise_xor.reduce(T.mix(s + T.ORDER[1])).view(np.int64)))
-                keys.append(band_keys(low, high))
+                keys.append(band_keys(low, high, bands))
                 sig.append(np.concatenate([T.mix(low), T.mix(high)]).astype(np.uint8).tobytes())
             yield pa.record_batch(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
@@ -146,11 +170,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 KEYS = ["bucket", "i", "j"]
 
 
-def _near_pairs(table: pa.Table, num: int, den: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _near_pairs(table: pa.Table, num: int, den: int, values: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs in different components, close in size and in signature, between blocks i and j of a bucket."""
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     comp, n, part = (table.column(c).to_numpy() for c in ("comp", "n", "block"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, 2 * HASHES)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, values)
     rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for r in rows:
@@ -166,12 +190,13 @@ def _across(num: int, den: int, kind: pa.DataType):
     (b null), to be confirmed block by block."""
     t = num / den
     expected = t + (1 - t) / 256
-    least = 2 * HASHES * expected - 6 * math.sqrt(2 * HASHES * expected * (1 - expected))
+    values = 2 * bands_for(num, den) * PER_BAND
+    least = values * expected - 6 * math.sqrt(values * expected * (1 - expected))
 
     @R.trimmed
     def run(batches):
         for table in _groups(batches, KEYS):
-            a, b = _near_pairs(table, num, den, least)
+            a, b = _near_pairs(table, num, den, values, least)
             if not len(a):
                 continue
             ids = table.column("id").combine_chunks()
@@ -231,7 +256,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """One row per input row: id, n_shingles, component_id (the smallest id reachable through links), kept."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(docs.dtypes)["id"]
-    signed = R.table(spark, docs.mapInArrow(_signed(k), f"id {kind}, n long, f1 long, f2 long, bands array<long>, sig binary"), "signed")
+    signed = R.table(spark, docs.mapInArrow(_signed(k, bands_for(num, den)), f"id {kind}, n long, f1 long, f2 long, bands array<long>, sig binary"), "signed")
     rows = signed.where("n > 0 and id is not null")
     same = rows.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     same = R.table(spark, same, "classes")

@@ -109,6 +109,22 @@ def test_near_crowd(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 3, 85, 100)
 
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100), (9, 10), (70, 100)])
+def test_near_bands(num, den):
+    """Links at the threshold share a bucket, small sets too."""
+    bands = near.bands_for(num, den)
+    for union in [*range(2, 60), 1000, 100_000]:
+        both = -(-num * union // den)
+        if both < union:
+            assert (1 - (both * (both - 1) / (union * (union - 1))) ** near.PER_BAND) ** bands < 1e-6
+    if (num, den) == (80, 100):
+        rng = np.random.default_rng(6)
+        for _ in range(10_000):
+            s = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+            a, b = (near.band_keys(*near.signature(x, bands), bands) for x in (s, s[:4]))
+            assert (a == b).any()
+
+
 def test_exact(spark, odd, none):
     got = sorted(map(tuple, exact.op7_exact_dedup(spark, SF).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()))
     db = duckdb.connect()
