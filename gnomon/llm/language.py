@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from gnomon.llm import _runtime as R
 from gnomon.llm import _text as T
 
-#: Documents of each language to learn from, longest piece and run, rounds of expectation maximisation.
-PER_LANGUAGE, LONGEST, RUN, ROUNDS = 1500, 12, 32, 3
+#: Documents of each language to learn from, longest run, rounds of expectation maximisation.
+PER_LANGUAGE, RUN, ROUNDS = 1500, 32, 3
 #: Probability of a single character that is no piece, and the pseudo-count of pieces.
 UNKNOWN, PSEUDO = 1e-8, 0.02
 #: Distinct runs whose probabilities a worker keeps; a matter of speed alone.
@@ -57,7 +57,7 @@ def pieces(path: str) -> list[str]:
     out = {}
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i).lower()
-        if p.lstrip("▁").isalpha() and p.count("▁") <= 1 and len(p) <= LONGEST or p == "▁":
+        if p.lstrip("▁").isalpha() and p.count("▁") <= 1 or p == "▁":
             out.setdefault(p, None)
     return list(out)
 
@@ -69,7 +69,7 @@ class Vocabulary:
         data = np.frombuffer("".join(found).encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(p) for p in found])
         h = T.hashes_of(T.prefix_sums(_codes(data)), np.concatenate([[0], ends[:-1]]), ends)
-        self.n = len(found)
+        self.n, self.longest = len(found), max(map(len, found), default=1)
         self.hash = np.concatenate([h, [np.uint64(0)]])
         self.slots = np.full((2, _SIZE), self.n, np.int32)
         rest = np.arange(self.n)
@@ -144,7 +144,7 @@ class Lattice:
         for j in range(1, self.longest + 1):
             m = int(np.searchsorted(-self.n, -j, "right"))
             row = []
-            for k in range(1, min(j, LONGEST) + 1):
+            for k in range(1, min(j, vocab.longest) + 1):
                 a = self.s[:m] + j - k
                 p = vocab.places(T.hashes_of(total, a, a + k))
                 if k == 1:

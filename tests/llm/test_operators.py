@@ -352,6 +352,17 @@ def brute_log(word, prob, place):
     return np.log(total[-1])
 
 
+def test_language_long_pieces():
+    path = P.path("piece_bpe_32k.model")
+    found = language.pieces(path)
+    assert max(map(len, found)) > 12
+    word = max((p for p in found if p.startswith("▁")), key=len)
+    m = language.fit({("a", word[1:]): 3, ("b", "banana"): 2}, path)
+    place = {p: i for i, p in enumerate(found)}
+    logs = m.logs(*language.runs([word[1:]])[:3])
+    assert place[word] < len(m.prob) and np.allclose(logs[0], [brute_log(word, m.prob[:, k], place) for k in range(2)])
+
+
 def test_language(spark, odd, none):
     path = P.path("piece_bpe_32k.model")
     found = language.pieces(path)
