@@ -23,8 +23,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
 #: Characters of the Markov models; position in this text is the state, and one more state stands before the first.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Runs of token characters that the models judge, the least ratio (nats) in all and per character.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Runs that the models judge: of all token characters, and, as a key may stand within a path or an assignment, those of
+#: each alphabet of keys; the least ratio (nats) in all and per character.
+CANDIDATES = [rf"(?<![{a}])[{a}]{{16,}}+" for a in ("A-Za-z0-9+/_=-", "A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")]
 LEAST_RATIO, LEAST_RATIO_PER_CHAR = 8.0, 0.35
 #: Labelled samples of each class and the pseudo-count of the models.
 SAMPLES, PSEUDO = 6000, 0.5
@@ -168,12 +169,16 @@ def scan(spark: SparkSession, docs: DataFrame, text_col: str = "text", model: li
         ok = (lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6) if group else (lambda m, n=least: F.length(m) >= n)
         df = _found(df, "__text", regex, k, kind, f"__k{k}", ok)
     judged = lambda m: (ratio(m, model) >= LEAST_RATIO) & (ratio(m, model) >= LEAST_RATIO_PER_CHAR * F.length(m))
-    df = _found(df, "__text", CANDIDATE, len(BASE), "markov", "__k3", judged)
+    runs = [f"__r{i}" for i in range(len(CANDIDATES))]
+    for name, regex in zip(runs, CANDIDATES, strict=True):
+        df = _found(df, "__text", regex, len(BASE), "markov", name, judged)
+    df = df.withColumn("__r", F.array_distinct(F.concat(*runs)))
+    df = df.withColumn("__k3", F.expr("filter(__r, m -> not exists(__r, r -> r.start <= m.start and r.end >= m.end and r.end - r.start > m.end - m.start))"))
     df = df.withColumn("base_spans", F.array_sort(F.concat("__k0", "__k1", "__k2")))
     # How far the base spans, which come by start, cover a run without a gap.
     apart = "filter(__k3, m -> aggregate(base_spans, m.start, (a, b) -> if(b.start <= a, greatest(a, b.end), a)) < m.end)"
     df = df.withColumn("all_spans", F.array_sort(F.concat("base_spans", F.expr(apart))))
-    return df.drop("__text", "__k0", "__k1", "__k2", "__k3")
+    return df.drop("__text", "__k0", "__k1", "__k2", "__k3", "__r", *runs)
 
 
 def joined(spans: str) -> Column:

@@ -69,6 +69,25 @@ def test_secrets_beyond_base_spans(spark):
     assert got[0] == ["access", "markov"] and got[1] == ["hex", "markov"]
 
 
+def test_secrets_short_and_inner_keys(spark):
+    """Random keys of 16 to 19 characters, and keys inside longer runs of words; ordinary runs stay."""
+    R.prepare(spark)
+    rng = np.random.default_rng(7)
+    signs = [c for c in secrets.ALPHABET if c.isalnum()]
+    words = [w for w in secrets.WORDS if w.isascii()]
+    texts = []
+    for i in range(200):
+        key = "".join(rng.choice(signs, 16 + i % 4))
+        long = "".join(rng.choice(signs, 24))
+        some = ["".join(rng.choice(words, 3)) for _ in range(6)]
+        texts += [("short", f"see {key} end", key), ("path", f"at {'/'.join(some)}/{long}/{some[0]} end", long), ("snake", f"let {'_'.join(some)}={long} end", long)]
+        texts += [("clean", f"at {'/'.join(some)} and {'_'.join(some)} or {some[0]}-{some[1]} end", None)]
+    rows = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(spark, rows).collect()}
+    share = {k: np.mean([(out[i] != t) if key is None else key not in out[i] for i, (kind, t, key) in enumerate(texts) if kind == k]) for k in ("short", "path", "snake", "clean")}
+    assert min(share["short"], share["path"], share["snake"]) > 0.9 and share["clean"] < 0.02
+
+
 def brute_components(rows, k, num, den):
     sets = []
     for i, t in rows:
