@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gnomon.engine import Engine
-from gnomon.model import Avg, Calculated, Computed, Count, CountDistinct, Dim, EnumDim, Max, Measure, Min, Relation, StringDim, Sum, TimeDim
+from gnomon.errors import MetricsError
+from gnomon.model import Avg, BoolDim, Calculated, Computed, Count, CountDistinct, Dim, EnumDim, Max, Measure, Min, Relation, StringDim, Sum, TimeDim
 from gnomon.operators.formula import divide
 from gnomon.sources.providers import FilesProvider, ManualProvider, sql_table
 
@@ -81,17 +87,107 @@ def _sql_source(spark, sf_dir):
     return _rounded(e.query().metrics(Max("yearly.total").alias("best"), Count("yearly.y").alias("n")).dimensions(Dim("yearly.status")).frame(), best=2)
 
 
-def _rollup(spark, sf_dir):
-    import uuid
+def _scratch(spark: SparkSession) -> str:
+    """The shared folder of the session; a local one only where none is set and the master is local (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise MetricsError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="gnomon-"))
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/gnomon-{uuid.uuid4().hex}"
+
+
+_LOCAL: dict[str, str] = {}
+DAY = TimeDim("orders.o_orderdate").alias("day").daily()
+
 
+def _rollup(spark, sf_dir):
     e = engine(spark, sf_dir)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gnomon-rollups"
-    day = TimeDim("orders.o_orderdate").alias("day").daily()
-    e.roll_up(e.query().metrics(REVENUE, ORDERS).dimensions(day, Dim("orders.o_orderstatus").alias("status")), f"{root}/rollup-{uuid.uuid4().hex}")
+    e.roll_up(e.query().metrics(REVENUE, ORDERS).dimensions(DAY, Dim("orders.o_orderstatus").alias("status")), _scratch(spark))
     q = e.query().metrics(ORDERS, REVENUE).dimensions(TimeDim("orders.o_orderdate").alias("month").monthly()).where({"orders.o_orderstatus": "F"})
     return _rounded(q.frame(), revenue=2)
 
 
+def _rollup_path(spark, sf_dir):
+    """A roll-up over suppliers' nations must not answer a query over customers' nations, and does answer its own."""
+    e = engine(spark, sf_dir)
+    e.roll_up(e.query().metrics(PRICE).dimensions(NATION).prefer("supplier"), _scratch(spark))
+    parts = [e.query().metrics(PRICE).dimensions(NATION).prefer(side).frame().select(F.lit(side).alias("side"), "nation", "price") for side in ("supplier", "customer")]
+    return _rounded(parts[0].unionByName(parts[1]), price=2)
+
+
+def _rollup_empty(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    e.roll_up(e.query().metrics(REVENUE, ORDERS).dimensions(Dim("orders.o_orderstatus").alias("status")), _scratch(spark))
+    return _rounded(e.query().metrics(ORDERS, REVENUE).where({"orders.o_orderstatus": "none"}).frame(), revenue=2)
+
+
+def _manual(spark: SparkSession, sf_dir: str, *tables) -> Engine:
+    """Orders and customers as views, and tables over them."""
+    for name in ("orders", "customer", "lineitem"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"gnomon_{name}")
+    return Engine(spark, ManualProvider("manual", tables))
+
+
+def _has_one(spark, sf_dir):
+    size = sql_table("order_size", "SELECT l_orderkey, count(*) AS n_items FROM gnomon_lineitem GROUP BY l_orderkey")
+    orders = sql_table("orders", "SELECT * FROM gnomon_orders", relations=(Relation("size", "has_one", "order_size", "o_orderkey", "l_orderkey"),))
+    return _rounded(_manual(spark, sf_dir, size, orders).query().metrics(REVENUE, ORDERS).dimensions(Dim("order_size.n_items")).frame(), revenue=2)
+
+
+_NOTES = """SELECT o_orderkey AS owner, 'order' AS kind, o_totalprice AS weight FROM gnomon_orders
+  UNION ALL SELECT c_custkey, 'customer', c_acctbal FROM gnomon_customer"""
+
+
+def _morph_many(spark, sf_dir):
+    notes = sql_table("notes", _NOTES)
+    customer = sql_table("customer", "SELECT * FROM gnomon_customer", relations=(Relation("notes", "morph_many", "notes", "c_custkey", "owner", type_is=("kind", "customer")),))
+    metrics = Count("notes.owner").alias("n"), Sum("notes.weight").alias("weight")
+    return _rounded(_manual(spark, sf_dir, notes, customer).query().metrics(*metrics).dimensions(SEGMENT).frame(), weight=2)
+
+
+def _morph_to(spark, sf_dir):
+    notes = sql_table("notes", _NOTES, relations=(Relation("order", "morph_to", "orders", "owner", "o_orderkey", type_is=("kind", "order")),))
+    orders = sql_table("orders", "SELECT * FROM gnomon_orders")
+    return _manual(spark, sf_dir, notes, orders).query().metrics(Count("notes.owner").alias("n")).dimensions(Dim("orders.o_orderstatus").alias("status")).frame()
+
+
+def _boolean(spark, sf_dir):
+    orders = sql_table("orders", "SELECT *, o_totalprice > 150000 AS large FROM gnomon_orders")
+    return _rounded(_manual(spark, sf_dir, orders).query().metrics(REVENUE, ORDERS).dimensions(BoolDim("orders.large")).frame(), revenue=2)
+
+
+def _inferred(spark, sf_dir):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    e = Engine(spark, FilesProvider("shop", sf_dir, TABLES, None, KEYS, infer=True))
+    return _rounded(e.query().metrics(REVENUE).dimensions(Dim("region.r_name").alias("region")).frame(), revenue=2)
+
+
+def _metadata(spark, sf_dir):
+    """What a column carries for presentation, as rows."""
+    shown = Sum("orders.o_totalprice").alias("sales").label("Sales").currency("USD").decimals(2)
+    field = engine(spark, sf_dir).query().metrics(shown).frame().schema["sales"]
+    return spark.createDataFrame([("sales", k, str(v)) for k, v in sorted(field.metadata.items())], "name string, key string, value string")
+
+
+def _kept(spark, sf_dir):
+    """Asked twice; the second time from the kept result."""
+    e = engine(spark, sf_dir)
+    e.results.folder = _scratch(spark)
+    q = e.query().metrics(REVENUE, ORDERS).dimensions(Dim("orders.o_orderstatus").alias("status")).keep(60)
+    q.frame()
+    return _rounded(q.frame(), revenue=2)
+
+
+def _json(spark, sf_dir):
+    """A result written as JSON below a folder, found there as a table, and asked again."""
+    root = _scratch(spark)
+    engine(spark, sf_dir).query().metrics(REVENUE).dimensions(Dim("orders.o_orderstatus").alias("status")).format("json", f"{root}/deep/by_status.json")
+    e = Engine(spark, FilesProvider("made", root, format="json"))
+    return _rounded(e.query().metrics(Max("by_status.revenue").alias("most"), Count("by_status.status").alias("n")).frame(), most=2)
+
+
 def _page(q):
     return q.page(10, 2)
 
@@ -146,6 +242,22 @@ QUERIES = {
     "segment": _segment,
     "view": _view,
     "preagg_hit": _rollup,
+    "preagg_path": _rollup_path,
+    "preagg_empty_count": _rollup_empty,
+    "has_one": _has_one,
+    "morph_many": _morph_many,
+    "morph_to": _morph_to,
+    "bool_dim": _boolean,
+    "inferred_relations": _inferred,
+    "metric_metadata": _metadata,
+    "kept_result": _kept,
+    "json_round_trip": _json,
+    "min_granularity": _totals(ORDERS, dims=(TimeDim("orders.o_orderdate").as_timestamp().min_granularity("day").alias("month").monthly(),), digits={}),
+    "ambiguous_qualified": _totals(Count("lineitem.l_orderkey").alias("n"), dims=(Dim("supplier.s_nationkey").alias("nation"),), digits={}),
+    "enum_cases": _totals(ORDERS, dims=(EnumDim("orders.o_orderstatus").alias("status").with_cases(("F", "O")).strict(),), digits={}),
+    "filter_list": _totals(REVENUE, where={"orders.o_orderstatus": ["F", "O"]}),
+    "filter_null": _totals(ORDERS, where={"customer.c_mktsegment": None}, digits={}),
+    "base_table": _totals(SUPPLY, Count("supplier.s_suppkey").alias("suppliers"), dims=(NATION,), digits={"supplier_balance": 2}, then=lambda q: q.base("nation")),
     "paginate": _totals(ORDERS, dims=(TimeDim("orders.o_orderdate").alias("month").monthly(),), digits={}, then=_page),
 }
 
@@ -227,6 +339,31 @@ ORACLE = {
     "segment": f"SELECT c_mktsegment AS segment, round(sum(o_totalprice), 2) AS revenue, count(o_orderkey) AS n_orders FROM {_OC} WHERE o_totalprice > 200000 AND o_orderstatus = 'O' GROUP BY 1",
     "view": f"SELECT r_name, count(o_orderkey) AS n_orders, round(sum(o_totalprice), 2) AS revenue FROM {_OCN} GROUP BY 1",
     "preagg_hit": "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(o_orderkey) AS n_orders, round(sum(o_totalprice), 2) AS revenue FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
+    "preagg_path": """SELECT 'supplier' AS side, n_name AS nation, round(sum(l_extendedprice), 2) AS price
+      FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 2
+      UNION ALL SELECT 'customer', n_name, round(sum(l_extendedprice), 2)
+      FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 2""",
+    "preagg_empty_count": "SELECT count(o_orderkey) AS n_orders, round(sum(o_totalprice), 2) AS revenue FROM orders WHERE o_orderstatus = 'none'",
+    "has_one": """SELECT n_items, round(sum(o_totalprice), 2) AS revenue, count(o_orderkey) AS n_orders FROM orders
+      LEFT JOIN (SELECT l_orderkey, count(*) AS n_items FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1""",
+    "morph_many": """SELECT c_mktsegment AS segment, count(owner) AS n, round(sum(weight), 2) AS weight FROM
+      (SELECT o_orderkey AS owner, 'order' AS kind, o_totalprice AS weight FROM orders UNION ALL SELECT c_custkey, 'customer', c_acctbal FROM customer)
+      LEFT JOIN customer ON c_custkey = owner AND kind = 'customer' GROUP BY 1""",
+    "morph_to": """SELECT o_orderstatus AS status, count(owner) AS n FROM
+      (SELECT o_orderkey AS owner, 'order' AS kind FROM orders UNION ALL SELECT c_custkey, 'customer' FROM customer)
+      LEFT JOIN orders ON o_orderkey = owner AND kind = 'order' GROUP BY 1""",
+    "bool_dim": "SELECT o_totalprice > 150000 AS large, round(sum(o_totalprice), 2) AS revenue, count(o_orderkey) AS n_orders FROM orders GROUP BY 1",
+    "inferred_relations": f"SELECT r_name AS region, round(sum(o_totalprice), 2) AS revenue FROM {_OCN} GROUP BY 1",
+    "metric_metadata": "SELECT * FROM (VALUES ('sales', 'currency', 'USD'), ('sales', 'decimals', '2'), ('sales', 'label', 'Sales')) AS t(name, key, value)",
+    "kept_result": "SELECT o_orderstatus AS status, round(sum(o_totalprice), 2) AS revenue, count(o_orderkey) AS n_orders FROM orders GROUP BY 1",
+    "json_round_trip": "SELECT round(max(revenue), 2) AS most, count(status) AS n FROM (SELECT o_orderstatus AS status, sum(o_totalprice) AS revenue FROM orders GROUP BY 1)",
+    "min_granularity": "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(o_orderkey) AS n_orders FROM orders GROUP BY 1",
+    "ambiguous_qualified": "SELECT s_nationkey AS nation, count(l_orderkey) AS n FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
+    "enum_cases": "SELECT o_orderstatus AS status, count(o_orderkey) AS n_orders FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1",
+    "filter_list": "SELECT round(sum(o_totalprice), 2) AS revenue FROM orders WHERE o_orderstatus IN ('F', 'O')",
+    "filter_null": f"SELECT count(o_orderkey) AS n_orders FROM {_OC} WHERE c_mktsegment IS NULL",
+    "base_table": """SELECT n_name AS nation, round(sum(s_acctbal), 2) AS supplier_balance, count(s_suppkey) AS suppliers
+      FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""",
     "paginate": "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(o_orderkey) AS n_orders FROM orders GROUP BY 1 ORDER BY 1 LIMIT 10 OFFSET 10",
 }
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from enum import Enum
 from typing import Any
 
-from gnomon.errors import BadGranularity
+from gnomon.errors import BadGranularity, MetricsError
 
 #: A granularity and those that it is finer than.
 COARSER = {
@@ -121,12 +121,37 @@ class BoolDim(Dim):
 
 @dataclass(frozen=True)
 class EnumDim(Dim):
+    """A dimension with a known domain. Conditions on values outside it are refused; `strict` leaves out rows whose
+    value is outside it."""
+
     enum: type[Enum] | None = None
+    listed: tuple = ()
     kind = "enum"
 
     @property
     def cases(self) -> tuple:
-        return tuple(e.value for e in self.enum) if self.enum else ()
+        return self.listed or (tuple(e.value for e in self.enum) if self.enum else ())
+
+    def with_enum(self, enum: type[Enum]):
+        return replace(self, enum=enum)
+
+    def with_cases(self, values):
+        return replace(self, listed=tuple(values))
+
+    def _known(self, values):
+        values = tuple(getattr(v, "value", v) for v in values)
+        if self.cases and (odd := [v for v in values if v not in self.cases]):
+            raise MetricsError(f"{self.ref} has no case {odd[0]!r}; there are {', '.join(map(repr, self.cases))}")
+        return values
+
+    def only(self, values):
+        return super().only(self._known(values))
+
+    def except_(self, values):
+        return super().except_(self._known(values))
+
+    def strict(self):
+        return super().only(self.cases)
 
 
 @dataclass(frozen=True)
@@ -237,15 +262,62 @@ def Calculated(formula: Callable, alias: str, needs=()) -> Derived:  # noqa: N80
     return Derived(formula, alias, tuple(needs))
 
 
+class Named:
+    """Read-only operations over named things, in order: a table's dimensions or relations."""
+
+    def __init__(self, items):
+        self._items = {i.name: i for i in items}
+
+    def get(self, name: str):
+        return self._items.get(name)
+
+    def has(self, name: str) -> bool:
+        return name in self._items
+
+    def all(self) -> dict:
+        return dict(self._items)
+
+    def names(self) -> tuple[str, ...]:
+        return tuple(self._items)
+
+    def of_type(self, kind: str) -> Named:
+        """Those of a kind: "time" and the like, or "belongs_to" and the like."""
+        return type(self)(i for i in self._items.values() if i.kind == kind)
+
+    def for_each(self, run: Callable) -> None:
+        for name, item in self._items.items():
+            run(name, item)
+
+    def add(self, item) -> Named:
+        return self.merge(type(self)([item]))
+
+    def merge(self, other: Named) -> Named:
+        """Both; of two with one name, the other's."""
+        return type(self)((self._items | other._items).values())
+
+    def count(self) -> int:
+        return len(self._items)
+
+    __len__ = count
+
+    def __iter__(self):
+        return iter(self._items.values())
+
+    def is_empty(self) -> bool:
+        return not self._items
+
+
 @dataclass(frozen=True)
 class Table:
+    """`dimensions` and `relations` may be functions without arguments, which are called when first asked for."""
+
     name: str
     load: Callable = field(compare=False)
     provider: str = ""
     connection: str | None = None
     primary_key: PrimaryKey | None = None
-    relations: tuple[Relation, ...] = ()
-    dimensions: tuple[Dim, ...] = ()
+    relations: tuple[Relation, ...] | Callable = ()
+    dimensions: tuple[Dim, ...] | Callable = ()
     sql: str | None = None
     meta: tuple[tuple[str, Any], ...] = ()
 
@@ -253,8 +325,18 @@ class Table:
     def identifier(self) -> str:
         return f"{self.provider}:{self.connection or 'null'}:{self.name}"
 
+    def catalog(self) -> Named:
+        return Named(self.dimensions() if callable(self.dimensions) else self.dimensions)
+
+    def graph(self) -> Named:
+        return Named(self.relations() if callable(self.relations) else self.relations)
+
     def relation(self, name: str) -> Relation | None:
-        return next((r for r in self.relations if r.name == name), None)
+        return self.graph().get(name)
 
     def dimension(self, name: str) -> Dim | None:
-        return next((d for d in self.dimensions if d.name == name), None)
+        return self.catalog().get(name)
+
+    def about(self, name: str, default=None):
+        """A note of the table's, from `meta`."""
+        return dict(self.meta).get(name, default)

@@ -78,12 +78,24 @@ def branch(registry: Registry, aggregates: Aggregates, b: Branch) -> DataFrame:
             value = F.when(test, value)
         outputs.append(aggregates.compile(m.measure.func, value).alias(m.alias))
     keys = [bucket(d.dim, col(d.source)).alias(d.alias) for d in b.dims]
+    if not outputs:  # the base table's own branch, where no metric is of it
+        return df.select(*keys).distinct()
     return df.groupBy(*keys).agg(*outputs) if keys else df.agg(*outputs)
 
 
+_HERE = "__in_base"
+
+
 def merged(plan: Plan, parts: list[DataFrame]) -> DataFrame:
-    """Branches side by side: one row for each group of any branch. A metric has one value in a group, the rest are
-    null; so any aggregate that skips nulls picks it."""
+    """Branches side by side: one row for each group of any branch, or of the base table if there is one. A metric has
+    one value in a group, the rest are null; so any aggregate that skips nulls picks it. Counts of groups without rows
+    are 0 where a base table brought the group in."""
+    if plan.base is not None and len(parts) > 1 and plan.aliases:
+        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [parts[0].withColumn(_HERE, F.lit(True)), *parts[1:]])
+        counted = {m.alias for m in plan.measures if m.measure.func in ("count", "count_distinct")}
+        pick = [F.first(f"`{m.alias}`", ignorenulls=True).alias(m.alias) for m in plan.measures]
+        out = whole.groupBy(*[F.col(f"`{a}`") for a in plan.aliases]).agg(F.max(_HERE).alias(_HERE), *pick).where(_HERE).drop(_HERE)
+        return out.withColumns({a: F.coalesce(F.col(f"`{a}`"), F.lit(0)) for a in counted}) if counted else out
     if len(parts) == 1:
         return parts[0]
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -103,4 +115,5 @@ def finished(plan: Plan, df: DataFrame) -> DataFrame:
 def lower(registry: Registry, aggregates: Aggregates, plan: Plan) -> DataFrame:
     if plan.rollup is not None:
         return finished(plan, plan.rollup)
-    return finished(plan, merged(plan, [branch(registry, aggregates, b) for b in plan.branches]))
+    branches = [b for b in plan.branches if b.measures or plan.aliases]
+    return finished(plan, merged(plan, [branch(registry, aggregates, b) for b in branches]))

@@ -1,4 +1,7 @@
-"""From what was asked to branches, each of one fact table, so that no to-many step multiplies a measure's rows."""
+"""From what was asked to branches, each of one fact table, so that no to-many step multiplies a measure's rows.
+
+Conditions on one to-many table must hold together for one of its rows; conditions on two to-many tables each for some
+row of theirs, even where one path leads over both. A base table decides which groups there are: those of its rows."""
 
 from __future__ import annotations
 
@@ -45,12 +48,12 @@ class Plan:
     aliases: list[str]  # of groupings
     derived: list[Derived]
     outputs: list[str]
-    hidden: list[str]
+    base: str | None = None  # identifier of the table that decides which groups there are
     rollup: object = None
 
     @property
     def primary_table(self) -> str:
-        return self.branches[0].root
+        return self.base or self.branches[0].root
 
     @property
     def tables(self) -> list[str]:
@@ -101,7 +104,7 @@ def _preferred(registry: Registry, start: str, goal: str, to_one: bool, prefer,
     return path(registry, start, goal, to_one, prefer, policy)
 
 
-def plan(registry: Registry, metrics, dims, where, fanout: str | None = None, prefer: tuple[str, ...] = (), single_connection: bool = False) -> Plan:
+def plan(registry: Registry, metrics, dims, where, fanout: str | None = None, prefer: tuple[str, ...] = (), single_connection: bool = False, base: str | None = None) -> Plan:
     asked = [m for m in metrics if isinstance(m, Measure)]
     derived = [m for m in metrics if isinstance(m, Derived)]
     if not asked:
@@ -124,6 +127,12 @@ def plan(registry: Registry, metrics, dims, where, fanout: str | None = None, pr
     groups: dict[str, list[PlannedMeasure]] = {}
     for m in measures:
         groups.setdefault(m.source.table.identifier, []).append(m)
+    if base is not None:
+        base = registry.table(base).identifier
+        for root in groups:
+            if root != base and path(registry, root, base, False, prefer, single_connection) is None:
+                raise NoJoinPath(f"no path from {root} to the base table {base}")
+        groups = {base: groups.get(base, []), **{r: g for r, g in groups.items() if r != base}}
     names = _names(dims)
     if clash := set(names) & set(taken):
         raise DuplicateAlias(f"a metric and a dimension are called {sorted(clash)[0]!r}")
@@ -153,7 +162,7 @@ def plan(registry: Registry, metrics, dims, where, fanout: str | None = None, pr
                 raise NoJoinPath(f"no path from {root} to {goal}")
             b.semi.append((way, fs))
         branches.append(b)
-    known, hidden = {m.alias for m in measures}, []
+    known = {m.alias for m in measures}
     for d in derived:
         needs = d.needs or (formula.names(d.formula) if isinstance(d.formula, str) else ())
         if missing := [n for n in needs if n not in known]:
@@ -162,7 +171,7 @@ def plan(registry: Registry, metrics, dims, where, fanout: str | None = None, pr
             raise DuplicateAlias(f"two metrics are called {d.named!r}")
         known.add(d.named)
     outputs = [*names, *(m.alias for m in measures), *(d.named for d in derived)]
-    return Plan(branches, names, derived, outputs, hidden)
+    return Plan(branches, names, derived, outputs, base)
 
 
 def _unknown(source: Source, column: str):
@@ -197,7 +206,7 @@ def _place(registry: Registry, root: str, d: Dim, to_one) -> Source:
     if "." in d.ref or "::" in d.ref:
         return registry.source(d.ref)
     table = registry.schema.by_id[root]
-    declared = next((c for c in table.dimensions if c.name == d.ref), None)
+    declared = table.dimension(d.ref)
     if declared:
         return Source(table, declared.column)
     if d.ref in table.load(registry.spark).columns:
@@ -206,7 +215,8 @@ def _place(registry: Registry, root: str, d: Dim, to_one) -> Source:
     for i, t in registry.schema.by_id.items():
         way = to_one(i) if i != root else None
         if way:
-            own = next((c.column for c in t.dimensions if c.name == d.ref), d.ref if d.ref in t.load(registry.spark).columns else None)
+            declared = t.dimension(d.ref)
+            own = declared.column if declared else d.ref if d.ref in t.load(registry.spark).columns else None
             if own:
                 far.setdefault(len(way), []).append(Source(t, own))
     if not far:

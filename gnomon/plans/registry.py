@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
 from gnomon.errors import AmbiguousTable, BadReference, MetricsError, UnknownColumn, UnknownTable
-from gnomon.model import Relation, Table
+from gnomon.model import Named, Relation, Table
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ class Compiled:
             self.by_name.setdefault(t.name, []).append(t)
             self.by_connection.setdefault(f"{t.provider}:{t.connection or 'null'}", []).append(t)
         for t in tables:
-            for r in t.relations:
+            for r in t.graph():
                 self._tie(t, r, resolve(r.target, t.provider))
 
     def _tie(self, t: Table, r: Relation, other: Table) -> None:
@@ -62,18 +63,28 @@ class Compiled:
         self.edges[t.identifier].append(Edge(t.identifier, other.identifier, r.local, r.remote, many, r.name, r.bridge, there))
         self.edges[other.identifier].append(Edge(other.identifier, t.identifier, r.remote, r.local, back_many, f"~{r.name}", back, home))
 
-    def relations(self, table: Table) -> tuple[Relation, ...]:
+    def relations(self, table: Table) -> Named:
+        return self._own(table).graph()
+
+    def dimensions(self, table: Table) -> Named:
+        return self._own(table).catalog()
+
+    def _own(self, table: Table) -> Table:
         if table.identifier not in self.by_id:
             raise UnknownTable(table.name)
-        return table.relations
+        return table
 
     def connections(self) -> tuple[str, ...]:
         return tuple(self.by_connection)
 
 
 class Registry:
-    def __init__(self, spark: SparkSession):
+    """ttl: seconds after which the providers are asked again whether their tables have changed; None: only when
+    `refresh` is called."""
+
+    def __init__(self, spark: SparkSession, ttl: float | None = None):
         self.spark, self._providers, self._compiled, self._stamp, self.version = spark, {}, None, None, 0
+        self.ttl, self._seen = ttl, 0.0
 
     def register(self, provider) -> None:
         """A provider of the same name is replaced."""
@@ -84,7 +95,14 @@ class Registry:
     def clear(self) -> None:
         self._compiled, self.version = None, self.version + 1
 
-    refresh = clear
+    def refresh(self) -> bool:
+        """Drop the compiled schema if a provider's tables have changed."""
+        changed = self.stale()
+        if changed:
+            for p in self._providers.values():
+                p.boot(self.spark)
+            self.clear()
+        return changed
 
     def providers(self) -> tuple[str, ...]:
         return tuple(self._providers)
@@ -94,6 +112,9 @@ class Registry:
 
     @property
     def schema(self) -> Compiled:
+        if self._compiled is not None and self.ttl is not None and time.monotonic() - self._seen >= self.ttl:
+            self._seen = time.monotonic()
+            self.refresh()
         if self._compiled is None:
             tables = [t for p in self._providers.values() for t in p.tables()]
             named: dict[str, list[Table]] = {}
@@ -107,11 +128,21 @@ class Registry:
                 return own[0]
 
             self._compiled = Compiled(tables, target)
-            self._stamp = {n: p.fingerprint() for n, p in self._providers.items()}
+            self._seen = time.monotonic()
+            if self.ttl is not None:
+                self._stamp = self._prints()
         return self._compiled
 
+    def _prints(self) -> dict:
+        return {n: p.fingerprint() for n, p in self._providers.items()}
+
     def stale(self) -> bool:
-        return self._compiled is not None and self._stamp != {n: p.fingerprint() for n, p in self._providers.items()}
+        """Whether tables have changed since the schema was compiled or, without a ttl, since this was last asked."""
+        if self._compiled is None:
+            return False
+        now = self._prints()
+        was, self._stamp = self._stamp, now
+        return was != now
 
     def table(self, name: str) -> Table:
         """By identifier (provider:connection:name), provider:name, or bare name."""
@@ -149,6 +180,14 @@ class Registry:
             raise UnknownColumn(f"{table.name} has no column {column!r}")
         return Source(table, column)
 
+    def tables_of(self, provider: str) -> tuple[str, ...]:
+        """Names of a provider's tables."""
+        return tuple(t.name for t in self.schema.by_id.values() if t.provider == provider)
+
+    def provides(self, name: str) -> tuple[str, ...]:
+        """Names of the providers that have a table of this name."""
+        return tuple(t.provider for t in self.schema.by_name.get(name, ()))
+
     def tables_on(self, connection: str) -> tuple[Table, ...]:
         return tuple(self.schema.by_connection.get(connection, ()))
 
@@ -162,7 +201,7 @@ class Registry:
             out[name] = {
                 "identifier": t.identifier, "primary_key": list(t.primary_key.columns) if t.primary_key else None,
                 "columns": json.loads(t.load(self.spark).schema.json())["fields"],
-                "dimensions": {d.name: d.kind for d in t.dimensions},
-                "relations": {r.name: {"kind": r.kind, "target": r.target, "keys": [r.local, r.remote], "bridge": r.bridge} for r in t.relations},
+                "dimensions": {d.name: d.kind for d in t.catalog()},
+                "relations": {r.name: {"kind": r.kind, "target": r.target, "keys": [r.local, r.remote], "bridge": r.bridge} for r in t.graph()},
             }
         return json.dumps(out, indent=1, sort_keys=True)

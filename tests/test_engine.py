@@ -9,9 +9,10 @@ import pytest
 from gnomon import Avg, Computed, Count, Dim, Engine, EnumDim, PrimaryKey, Relation, StringDim, Sum, TimeDim
 from gnomon import errors as X
 from gnomon.functions.dimensions import Mappers
-from gnomon.model import BoolDim
+from gnomon.model import BoolDim, Named
 from gnomon.plans.planner import path
-from gnomon.sources.providers import FilesProvider, ManualProvider, frame_table
+from gnomon.sources.cache import SchemaCache
+from gnomon.sources.providers import FilesProvider, ManualProvider, frame_table, source_table
 
 
 @pytest.fixture(scope="module")
@@ -152,3 +153,123 @@ def test_plan_pushes_down(spark):
 
     text = catalogue.queries()["join_filter_remote"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(r_name), EqualTo(r_name,ASIA)" in text and "o_orderpriority" not in text
+
+
+def test_rollups_refused_and_refreshed(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "id long, k string, v double").write.parquet(f"{tmp_path}/db/facts.parquet")
+    spark.createDataFrame([(1, 1), (2, 1)], "id long, fact long").write.parquet(f"{tmp_path}/db/parts.parquet")
+    cache = SchemaCache()
+    files = FilesProvider("db", f"{tmp_path}/db", relations={"parts": [Relation("fact", "belongs_to", "facts", "fact", "id")]}, cache=cache)
+    seen = []
+    e = Engine(spark, files, timing=lambda what, s: seen.append(what))
+    total = e.query().metrics(Sum("facts.v").alias("t"))
+    with pytest.raises(X.FanOut):
+        e.roll_up(total.dimensions(Dim("parts.id")).fan_out("flat"), f"{tmp_path}/r0")
+    assert "plan" in seen
+    with pytest.raises(X.MetricsError):
+        e.roll_up(total.where({"facts.k": "a"}), f"{tmp_path}/r1")
+    r = e.roll_up(total.dimensions(Dim("facts.k")), f"{tmp_path}/r2")
+    assert total.frame().first()["t"] == 5
+    spark.createDataFrame([(3, "c", 10.0)], "id long, k string, v double").write.mode("append").parquet(f"{tmp_path}/db/facts.parquet")
+    assert total.frame().first()["t"] == 5  # the roll-up as it was made
+    e.refresh(r)
+    assert total.frame().first()["t"] == 15
+
+
+def test_schema_cache(spark, tmp_path):
+    cache = SchemaCache(f"{tmp_path}/cache")
+    cache.put("a", {"x": 1}, "s1")
+    assert cache.get("a", "s1") == {"x": 1} and cache.get("a", "s2") is None and cache.size() == 1
+    assert SchemaCache(f"{tmp_path}/cache").get("a", "s1") == {"x": 1}
+    cache.disable()
+    cache.put("b", 1)
+    assert not cache.is_enabled() and cache.get("a", "s1") is None and not cache.has("b") and cache.size() == 0
+    cache.enable()
+    cache.forget("a")
+    assert not SchemaCache(f"{tmp_path}/cache").has("a", "s1")
+    cache.put("c", 1)
+    cache.flush()
+    assert cache.all() == {}
+
+    spark.range(3).write.parquet(f"{tmp_path}/db/deep/one.parquet")
+    spark.range(2).write.parquet(f"{tmp_path}/db/two.parquet")
+    files = FilesProvider("db", f"{tmp_path}/db", cache=cache)
+    e = Engine(spark, files, schema_ttl=0)
+    assert e.query().metrics(Count("one.id").alias("n")).frame().first()["n"] == 3
+    assert cache.size() == 1  # two.parquet has not been opened
+    assert e.registry.refresh() is False and e.registry.tables_of("db") == ("one", "two") and e.registry.provides("one") == ("db",)
+    spark.range(4).selectExpr("id", "id * 2 AS twice").write.mode("overwrite").parquet(f"{tmp_path}/db/deep/one.parquet")
+    assert e.query().metrics(Sum("one.twice").alias("n")).frame().first()["n"] == 12  # a changed file is seen
+    assert files.provides("two") and not files.provides("three") and files.relations("three").is_empty() and files.dimensions("two").is_empty()
+
+
+def test_catalogs_and_domains(spark, shop):
+    t = shop.registry.table("orders")
+    g = t.graph()
+    assert g.names() == ("customer", "items") and g.of_type("has_many").names() == ("items",) and g.count() == 2 and g.has("items") and not g.is_empty()
+    seen = []
+    g.for_each(lambda name, r: seen.append((name, r.kind)))
+    assert seen == [("customer", "belongs_to"), ("items", "has_many")]
+    c = Named([TimeDim("a"), BoolDim("b")])
+    assert c.merge(Named([StringDim("a")])).get("a").kind == "string" and c.add(StringDim("z")).names() == ("a", "b", "z") and c.of_type("time").names() == ("a",)
+    with pytest.raises(X.MetricsError, match="no case"):
+        EnumDim("orders.status").with_cases(["new", "done"]).only(["lost"])
+    n = Count("orders.id").alias("n")
+    assert {r["status"]: r["n"] for r in shop.query().metrics(n).dimensions(EnumDim("orders.status").with_cases(["new"]).strict()).frame().collect()} == {"new": 2}
+    assert shop.query().metrics(n).where({"orders.status": None}).frame().first()["n"] == 1
+    assert shop.query().metrics(n).where({"orders.status": ["!=", None]}).frame().first()["n"] == 3
+    with pytest.raises(X.MetricsError):
+        shop.query().metrics(n).where({"orders.status": ["<", None]}).frame()
+
+
+def test_base_table(shop):
+    q = shop.query().metrics(Sum("orders.total").alias("t"), Count("orders.id").alias("n")).dimensions(Dim("customers.segment"))
+    assert {r["segment"]: (r["t"], r["n"]) for r in q.base("customers").frame().collect()} == {"vip": (300, 2), "general": (None, 0)}
+    assert q.base("customers").plan().primary_table.endswith("customers") and q.plan().primary_table.endswith("orders")
+    with pytest.raises(X.NoJoinPath):
+        q.base("spend").plan()
+
+
+def test_bare_dimension_in_two_tables(spark):
+    d = spark.createDataFrame([(1, "x")], "id long, place string")
+    f = spark.createDataFrame([(1, 1)], "a long, b long")
+    rel = (Relation("a", "belongs_to", "left", "a", "id"), Relation("b", "belongs_to", "right", "b", "id"))
+    e = Engine(spark, ManualProvider("p", [frame_table("facts", f, relations=rel), frame_table("left", d), frame_table("right", d)]))
+    with pytest.raises(X.AmbiguousColumn):
+        e.query().metrics(Count("facts.a")).dimensions(Dim("place")).plan()
+    assert e.query().metrics(Count("facts.a").alias("n")).dimensions(Dim("left.place")).frame().first()["n"] == 1
+
+
+def test_kept_results(spark, shop, tmp_path):
+    e = Engine(spark, shop.registry.provider("shop"), result_dir=f"{tmp_path}/kept")
+    q = e.query().metrics(Count("orders.id").alias("n"))
+    assert q.keep(60).frame().first()["n"] == q.keep(60).frame().first()["n"] == 4 and e.results.size() == 1
+    first = next(iter(e.results._held.values()))[1]
+    q.keep(0).frame()
+    assert next(iter(e.results._held.values()))[1] != first
+    with pytest.raises(X.MetricsError):
+        q.format("excel", f"{tmp_path}/x.xlsx") if __import__("importlib").util.find_spec("openpyxl") is None else q.format("none")
+    q.format("csv", f"{tmp_path}/out.csv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out.csv").first()["n"] == "4"
+
+
+def test_python_source(spark):
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    class Numbers(DataSource):
+        @classmethod
+        def name(cls):
+            return "numbers"
+
+        def schema(self):
+            return "n int"
+
+        def reader(self, schema):
+            class Reader(DataSourceReader):
+                def read(self, partition):
+                    yield from ((i,) for i in range(5))
+
+            return Reader()
+
+    e = Engine(spark, ManualProvider("p", [source_table("numbers", Numbers)]))
+    assert e.query().metrics(Sum("numbers.n").alias("s")).frame().first()["s"] == 10
