@@ -1,22 +1,33 @@
-"""Session plumbing shared by the corpus operators: scratch tables, size-checked broadcasts, batch sizes."""
+"""Session plumbing shared by the corpus operators: scratch tables, sieves, joins that stand hot keys, batch sizes.
+
+No plan depends on a table's size. Wide rows (texts, signatures) are kept from shuffles by sieves: bit filters of a fixed
+size over the keys that matter, tested in the scan. A sieve lets every wanted row through and few others; the exact join
+or grouping follows, on the rows it let through. With far more keys than it was made for a sieve lets everything through,
+and what is left is the plain shuffled join."""
 
 from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import io
+import operator
 import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most so many rows (narrow keys, no texts) may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 400_000
+#: 64-bit words of a sieve, a power of two (1 MB; the session may set spark.gnomon.sieve.words), and words of its rows. A
+#: key sets three bits: of a million keys, a sieve lets through 1 row in 36 that isn't wanted, of two million 1 in 8.
+SIEVE_WORDS, _ROW = 1 << 17, 1 << 10
+#: Parts over which the rows of one key are dealt in joins and groupings.
+SALTS = 256
 #: Rows and bytes of an Arrow batch handed to Python workers; bounds their memory on long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -56,12 +67,52 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it holds at most `limit` rows; otherwise as it is, for a shuffled join.
+def sieve(spark: SparkSession, keys: DataFrame, *columns: str, words: int | None = None) -> Callable[..., Column]:
+    """A test of columns like `columns` of `keys`: true for every row whose values are among the keys', and for few others.
+    The test names its columns many times; `bound` keeps dear ones from being computed as often.
+
+    Its bits are gathered by DataFrame functions and reach the tasks as the value of a one-row subquery."""
+
+    size = words or int(spark.conf.get("spark.gnomon.sieve.words", str(SIEVE_WORDS)))
+
+    def places(h: Column) -> list[Column]:
+        return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(64 * size - 1)) for k in (0, 19, 38)]
+
+    at = keys.select(F.xxhash64(*columns).alias("h")).select(F.explode(F.array(*places(F.col("h")))).alias("p"))
+    word, bit = F.expr("shiftright(p, 6)").alias("w"), F.expr("shiftleft(1L, int(p & 63))").alias("b")
+    parts = at.select(word, bit).unionByName(spark.range(size).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")))
+    parts = parts.groupBy("w").agg(F.bit_or("b").alias("b"))
+    # Two steps, so that no task puts more than a few thousand words in order.
+    rows = parts.groupBy(F.expr(f"w div {_ROW}").alias("r")).agg(F.expr("transform(array_sort(collect_list(struct(w, b))), x -> x.b)").alias("bs"))
+    whole = table(spark, rows.agg(F.expr("transform(array_sort(collect_list(struct(r, bs))), x -> x.bs)").alias("words")), "sieve")
+
+    def set_at(words: Column, p: Column) -> Column:
+        row, col = F.shiftright(p, 6 + _ROW.bit_length() - 1).cast("int"), F.shiftright(p, 6).bitwiseAND(F.lit(_ROW - 1)).cast("int")
+        return F.getbit(words[row][col], p.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def test(*values) -> Column:
+        words, h = whole.scalar(), F.xxhash64(*values)
+        return functools.reduce(operator.and_, [set_at(words, p) for p in places(h)])
+
+    return test
+
 
-    df must be cheap to count (a scratch table).
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with the column `name`, computed once: a generator of one row, into which no later use is folded."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def salt(*by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def attach(rows: DataFrame, found: DataFrame, on: list[str], by: list[str], keys: DataFrame | None = None) -> DataFrame:
+    """rows left-joined to `found`, which has one row for each key, where a key may hold most of rows: its rows are dealt
+    over SALTS parts by the columns `by`, and only the parts that there are get a copy of the key's row of `found`.
+
+    keys: on and by of all rows, where a table has them; spares a second computation of rows."""
+    parts = (rows if keys is None else keys).select(*on, salt(*by).alias("__salt")).distinct()
+    return rows.withColumn("__salt", salt(*by)).join(parts.join(found, on), [*on, "__salt"], "left").drop("__salt")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -106,6 +157,12 @@ def trimmed(run):
     return held
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

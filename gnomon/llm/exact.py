@@ -1,13 +1,15 @@
 """Exact duplicates by progressive refinement: length, then a prefix hash, then a full hash of what is left.
 
 Texts are equal when they are identical after lower-casing A-Z; null counts as empty. Everything runs as DataFrame
-expressions. The refinement never moves a text through a shuffle while the key tables stay small (their row count is
-checked before a broadcast); beyond that the joins shuffle. No group is ever collected: counts and the largest id
-are combined map-side, and rows find their group by a join that adaptive execution splits when a key is hot.
+expressions. Each pass scans the texts, but hashes only those that the pass before left in doubt: a sieve of the lengths
+held by several rows, then one of (length, prefix hash). Only (id, hash) rows are shuffled; whole rows are shuffled by
+`keep_exact` alone, and of them those whose hash a second row has. No group is ever collected: counts and the largest id
+are combined map-side, and a group's rows are dealt over many tasks when they look their group up.
 
 Defined results: empty tables give empty results; null and empty texts are one text; a null id is never the largest
 unless all ids of its group are null, and then stands for itself; rows repeated with the kept id are all marked as
-kept, and `keep_exact` leaves one of them. Input columns other than id and text are not read by `exact_groups`.
+kept, and `keep_exact` leaves one of them. Input columns other than id and text are not read by `exact_groups` and pass
+through `keep_exact` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,18 +32,26 @@ def folded(text: Column) -> Column:
     )
 
 
-def _refined(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with length and prefix hash; (length, prefix hash) held by several rows; groups of equal texts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"__n": F.octet_length(text), "__text": text})
-    lengths = R.table(spark, rows.groupBy("__n").count().where("count > 1").select("__n"), "lengths")
-    rows = rows.withColumn("__p", F.xxhash64(folded(F.substring("__text", 1, PREFIX_CHARS))))
-    by_length = rows.join(R.sized(lengths), "__n", "left_semi")
-    prefixes = R.table(spark, by_length.groupBy("__n", "__p").count().where("count > 1").select("__n", "__p"), "prefixes")
-    alike = rows.join(R.sized(prefixes), ["__n", "__p"], "left_semi")
-    full = alike.select(F.col(id_col).alias("__id"), "__n", "__p", F.sha2(folded(F.col("__text")), 256).alias("__h"))
-    groups = full.groupBy("__n", "__p", "__h").agg(F.count("*").alias("__size"), F.max("__id").alias("__keep"))
-    return rows, prefixes, R.table(spark, groups.where("__size > 1"), "groups")
+def _hashed(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, digest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (row: the input's columns, id, h: full hash, null where the refinement told the text apart), a table of their
+    ids and hashes, and one of groups of several equal texts (h, size, keep, copies: rows with the kept id)."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = R.bound(rows, "n", F.octet_length("text"))
+    lengths = rows.groupBy("n").count().where("count > 1")
+    length_met = R.sieve(spark, lengths, "n")
+    # The prefix hash of texts whose length others have; null stands for "told apart".
+    prefix = F.xxhash64(folded(F.substring("text", 1, PREFIX_CHARS)))
+    rows = R.bound(rows, "p", F.when(length_met("n"), prefix))
+    prefixes = rows.where("p is not null").groupBy("n", "p").count().where("count > 1")
+    prefix_met = R.sieve(spark, prefixes, "n", "p")
+    alike = F.col("p").isNotNull() & prefix_met("n", "p")
+    rows = R.bound(rows, "h", F.when(F.lit(digest) | alike, F.unhex(F.sha2(folded(F.col("text")), 256))))
+    hashes = R.table(spark, rows.select("id", "h", alike.alias("alike")), "hashes")
+    by_id = hashes.where("alike").groupBy("h", "id").agg(F.count("*").alias("c"))  # copies of one text seldom share an id
+    best = F.max(F.struct("id", "c"))  # a null id is the least of all
+    groups = by_id.groupBy("h").agg(F.sum("c").alias("size"), best.alias("best")).where("size > 1")
+    groups = R.table(spark, groups.select("h", "size", F.col("best.id").alias("keep"), F.col("best.c").alias("copies")), "groups")
+    return rows.select("row", "id", "h"), hashes, groups
 
 
 def exact_groups(
@@ -49,34 +59,27 @@ def exact_groups(
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, full_hash (null for texts that the refinement told apart
     before it came to the full hash; with `digest`, the hash of every text)."""
-    rows, prefixes, groups = _refined(spark, docs.select(id_col, text_col), id_col, text_col)
-    flagged = rows.join(R.sized(prefixes.withColumn("__alike", F.lit(True))), ["__n", "__p"], "left")
-    sha = F.sha2(folded(F.col("__text")), 256)
-    hashed = flagged.select(
-        F.col(id_col), "__n", "__p", F.coalesce("__alike", F.lit(False)).alias("__alike"),
-        (sha if digest else F.when(F.col("__alike"), sha)).alias("__h"),
-    )
-    met = hashed.join(R.sized(groups), ["__n", "__p", "__h"], "left")
-    keep = F.when(F.col("__size").isNull(), F.col(id_col)).otherwise(F.col("__keep"))
+    _, hashes, groups = _hashed(spark, docs.select(id_col, text_col), id_col, text_col, digest)
+    met = R.attach(hashes, groups, ["h"], ["id"])
+    keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
     return met.select(
-        F.col(id_col),
+        F.col("id").alias(id_col),
         keep.alias("keep_id"),
-        F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
-        F.col(id_col).eqNullSafe(keep).alias("kept"),
-        F.col("__h").alias("full_hash"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("id").eqNullSafe(keep).alias("kept"),
+        F.lower(F.hex("h")).alias("full_hash"),
     )
 
 
 def keep_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts, one row with the largest id."""
-    names = docs.columns
-    rows, prefixes, groups = _refined(spark, docs, id_col, text_col)
-    flagged = rows.join(R.sized(prefixes.withColumn("__alike", F.lit(True))), ["__n", "__p"], "left")
-    flagged = flagged.withColumn("__h", F.when(F.col("__alike"), F.sha2(folded(F.col("__text")), 256)))
-    met = flagged.join(R.sized(groups), ["__n", "__p", "__h"], "left")
-    single = met.where(F.col("__size").isNull()).select(*names)
-    best = met.where(F.col("__size").isNotNull() & F.col(id_col).eqNullSafe(F.col("__keep")))
-    return single.unionByName(best.dropDuplicates(["__n", "__p", "__h"]).select(*names))
+    rows, hashes, groups = _hashed(spark, docs, id_col, text_col)
+    copied = F.coalesce(R.sieve(spark, groups, "h")("h"), F.lit(False)) & F.col("h").isNotNull()
+    met = R.attach(rows.where(copied), groups, ["h"], ["id"], hashes.where("h is not null"))
+    best = met.where(F.col("size").isNull() | F.col("id").eqNullSafe(F.col("keep")))
+    once = best.where("size is null or copies = 1").select("row")
+    several = best.where("copies > 1").groupBy("h").agg(F.first("row").alias("row")).select("row")
+    return rows.where(~copied).select("row").unionByName(once).unionByName(several).select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Connected components by alternating large-star and small-star rounds, each written to the shared folder.
 
-Links never reach the driver; only their number and a checksum do, to see when a round changes nothing.
+Links never reach the driver; only their number and a checksum do, to see when a round changes nothing. A node with very
+many links is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     while last[0]:
         # Large star: every larger neighbour of u is tied to the smallest node around u.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = R.table(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.where("v > u").join(R.sized(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = R.attach(both.where("v > u"), low, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = R.table(spark, large, "large")
         # Small star: u and its smaller neighbours are tied to the smallest of them.
-        low = R.table(spark, large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(R.sized(low), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = R.attach(large, low, ["u"], ["v"]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = R.table(spark, small.where("u != v").distinct(), "edges")
         now = _state(edges)
         if now == last:

@@ -1,30 +1,36 @@
 """Near-duplicates by min-max hashing: one hash evaluation gives two signature values, the least and the largest.
 
 One pass over the texts writes, per document, the size of its shingle set, a 128-bit fingerprint of the set, its band
-keys and one byte of each signature value. The number of bands follows from the threshold (`bands_for`). Documents with equal sets form a class; only one of each class goes on.
+keys and one byte of each signature value. The number of bands follows from the threshold (`bands_for`). Documents with
+equal sets form a class; only one of each class goes on.
 
 Candidates, round one: in each bucket of a band the smallest id is the hub, and every other member is paired with it,
 so a bucket of m gives m - 1 pairs. Pairs are confirmed on full sets, and confirmed links make components. Round two:
-buckets that still hold several components are searched block by block for pairs across components whose signatures
-agree often enough for the threshold (six standard deviations of slack); these are confirmed as well. So no member of
-a bucket is skipped, nothing is capped, and no group's pairs are emitted wholesale. A link at the threshold itself
-shares no bucket with probability below 1e-6, whatever the size of the sets; only unequal sets that share one single
-shingle (possible at thresholds of one half or less) never do.
+in buckets that still hold several components, the members outside the bucket's largest component are searched block by
+block against all members for pairs across components whose signatures agree often enough for the threshold (six
+standard deviations of slack); these are confirmed as well. So no member of a bucket is skipped, nothing is capped, and
+no group's pairs are emitted wholesale. A link at the threshold itself shares no bucket with probability below 1e-6,
+whatever the threshold and the size of the sets; only unequal sets that share one single shingle (possible at thresholds
+of one half or less) never do.
+
+What is shuffled: band keys with ids, once to find buckets of several; signatures and full sets only of documents that
+sieves let through. Texts never are; `keep_near` shuffles the few rows that a sieve takes for dropped ones by mistake.
 
 Defined results: null and empty texts, and texts of white space, have an empty set and link with nothing; rows with a
 null id get a null component and stay; rows that repeat an id are one node, and all stay if that node does; other
-columns are not read.
+columns are not read by `near_groups` and pass through `keep_near` untouched, whatever their names. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gnomon.llm import _runtime as R
@@ -34,8 +40,8 @@ from gnomon.llm.graph import components
 #: Least number of bands of a signature, hash evaluations in a band (two values each), and the chance of a link at the
 #: threshold to share no bucket.
 LEAST_BANDS, PER_BAND, MISS = 32, 3, 1e-6
-#: Members of a block when buckets are searched in round two.
-BLOCK = 512
+#: Members of a block when buckets are searched in round two; words of the sieve of buckets of several.
+BLOCK, BUCKET_WORDS = 512, 1 << 19
 
 
 def agreement(both: int, union: int) -> float:
@@ -138,17 +144,24 @@ def _linked(num: int, den: int):
     return run
 
 
-def confirm(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b: ids) whose full shingle sets have den * intersection >= num * union."""
-    ids = R.table(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
-    texts = docs.join(R.sized(ids), "id", "left_semi").select("id", "text")
-    sets = R.table(spark, texts.mapInArrow(_sets(k), f"id {dict(docs.dtypes)['id']}, set binary"), "sets")
-    met = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    met = met.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
+def confirm(spark: SparkSession, docs: DataFrame, pairs: DataFrame, several: Callable[..., Column], k: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b: ids) whose full shingle sets have den * intersection >= num * union. several: a test of ids
+    that more than one row has."""
     kind = dict(docs.dtypes)["id"]
+    sets = _sets_of(spark, docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), several, k)
+    hub = R.sieve(spark, pairs, "a")("id")
+    met = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    met = met.join(sets.where(hub).select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
     return R.table(spark, met.mapInArrow(_linked(num, den), f"a {kind}, b {kind}"), "links")
 
 
+def _sets_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, several: Callable[..., Column], k: int) -> DataFrame:
+    """(id, set) of all rows whose id is among ids, and of few others; rows alike once."""
+    texts = docs.where(R.sieve(spark, ids, "id")("id"))
+    sets = R.table(spark, texts.mapInArrow(_sets(k), f"id {dict(docs.dtypes)['id']}, set binary"), "sets")
+    return sets.where(~several("id")).unionByName(sets.where(several("id")).distinct())
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Complete groups of rows that arrive sorted by their keys."""
     held = None
@@ -171,15 +184,14 @@ KEYS = ["bucket", "i", "j"]
 
 
 def _near_pairs(table: pa.Table, num: int, den: int, values: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs in different components, close in size and in signature, between blocks i and j of a bucket."""
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    comp, n, part = (table.column(c).to_numpy() for c in ("comp", "n", "block"))
+    """Places of pairs in different components, close in size and in signature, of a block outside the largest component
+    (side 0) and one of all members (side 1)."""
+    comp, n, side = (table.column(c).to_numpy() for c in ("comp", "n", "side"))
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, values)
-    rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for r in rows:
-        c = cols if i != j else cols[cols > r]
-        c = c[(comp[c] != comp[r]) & (den * np.minimum(n[c], n[r]) >= num * np.maximum(n[c], n[r]))]
+        c = cols[(comp[cols] != comp[r]) & (den * np.minimum(n[cols], n[r]) >= num * np.maximum(n[cols], n[r]))]
         c = c[(sig[c] == sig[r]).sum(axis=1) >= least]
         left.append(np.full(len(c), r)), right.append(c)
     return np.concatenate(left), np.concatenate(right)
@@ -202,11 +214,11 @@ def _across(num: int, den: int, kind: pa.DataType):
             ids = table.column("id").combine_chunks()
             if len(a) <= table.num_rows:
                 none = pa.nulls(len(a), pa.int64())
-                yield pa.record_batch([ids.take(pa.array(a)), ids.take(pa.array(b)), none, *[pa.nulls(len(a), pa.int32())] * 3, pa.nulls(len(a), kind)], names=["a", "b", *KEYS, "block", "comp"])
+                yield pa.record_batch([ids.take(pa.array(a)), ids.take(pa.array(b)), none, *[pa.nulls(len(a), pa.int32())] * 3, pa.nulls(len(a), kind)], names=["a", "b", *KEYS, "side", "comp"])
                 continue
             part = table.take(pa.array(np.unique(np.concatenate([a, b]))))
-            cols = [part.column(c).combine_chunks() for c in ("id", "bucket", "i", "j", "block", "comp")]
-            yield pa.record_batch([cols[0], pa.nulls(part.num_rows, kind), *cols[1:]], names=["a", "b", *KEYS, "block", "comp"])
+            cols = [part.column(c).combine_chunks() for c in ("id", *KEYS, "side", "comp")]
+            yield pa.record_batch([cols[0], pa.nulls(part.num_rows, kind), *cols[1:]], names=["a", "b", *KEYS, "side", "comp"])
 
     return run
 
@@ -219,8 +231,7 @@ def _dense(num: int, den: int):
     @R.trimmed
     def run(batches):
         for table in _groups(batches, KEYS):
-            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            part, comp = table.column("block").to_numpy(), table.column("comp").to_numpy()
+            side, comp = table.column("side").to_numpy(), table.column("comp").to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
             sizes = np.array([len(x) for x in sets])
             values, code = np.unique(np.concatenate(sets), return_inverse=True)
@@ -232,7 +243,7 @@ def _dense(num: int, den: int):
                 hold[owner[at], code[at] - lo] = 1
                 same += hold @ hold.T
             linked = den * same >= num * (sizes[:, None] + sizes[None, :] - same)
-            linked &= (part[:, None] == i) & (part[None, :] == j) & (comp[:, None] != comp[None, :])
+            linked &= (side[:, None] == 0) & (side[None, :] == 1) & (comp[:, None] != comp[None, :])
             root = {c: c for c in comp.tolist()}
 
             def find(c, root=root):
@@ -252,70 +263,118 @@ def _dense(num: int, den: int):
     return run
 
 
+def _classes(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row (id, n, bands, sig) for each different set, that of the smallest id; and (rep, id) of all other rows."""
+    on, narrow = ["n", "f1", "f2"], rows.select("id", "n", "f1", "f2")
+    by_id = narrow.groupBy(*on, "id").agg(F.count("*").alias("c"))
+    same = by_id.groupBy(*on).agg(F.min(F.struct("id", "c")).alias("best"), F.sum("c").alias("size")).where("size > 1")
+    same = R.table(spark, same.select(*on, F.col("best.id").alias("rep"), F.col("best.c").alias("copies")), "classes")
+    shared = R.sieve(spark, same, *on)(*on)
+    met = R.attach(narrow.where(shared), same, on, ["id"])
+    members = R.table(spark, met.where("rep != id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "members")
+    best = R.attach(rows.where(shared), same, on, ["id"], narrow.where(shared)).where("rep is null or rep = id")
+    once = best.where("rep is null or copies = 1").select("id", "n", "bands", "sig")
+    several = best.where("copies > 1").groupBy(*on, "id").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")).select("id", "n", "bands", "sig")
+    return R.table(spark, rows.where(~shared).select("id", "n", "bands", "sig").unionByName(once).unionByName(several), "reps"), members
+
+
+def _buckets(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """(bucket, id, n, hub, hn) of the members of all buckets of several; hub: the smallest id, hn: the size of its set."""
+    banded = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    crowded = R.sieve(spark, banded.groupBy("bucket").count().where("count > 1"), "bucket", words=BUCKET_WORDS)
+    held = R.table(spark, banded.where(crowded("bucket")), "banded")
+    hubs = held.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    hubs = hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hn"))
+    return R.table(spark, held.join(hubs, "bucket"), "held")  # a hot bucket's rows are split by adaptive execution
+
+
+def _round_two(spark: SparkSession, docs: DataFrame, classes: DataFrame, held: DataFrame, links: DataFrame, several, k: int, num: int, den: int) -> list[DataFrame]:
+    """Links between components that share a bucket."""
+    kind, arrow = dict(docs.dtypes)["id"], R.arrow_type(docs, "id")
+    first = components(spark, links)
+    part = held.join(first, held["id"] == first["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
+    part = R.table(spark, part, "parts")
+    by_comp = part.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    mixed = by_comp.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    # Blocks of all members, and blocks of those outside the largest component.
+    mixed = mixed.select("bucket", F.col("main.comp").alias("main"), F.expr(f"int(ceil(m / {BLOCK}))").alias("blocks"), F.expr(f"int(ceil((m - main.c) / {BLOCK}))").alias("outer_blocks"))
+    mixed = R.table(spark, mixed, "mixed")
+    rest = R.table(spark, part.where(R.sieve(spark, mixed, "bucket")("bucket")).join(mixed, "bucket"), "rest")
+    sigs = classes.where(R.sieve(spark, rest, "id")("id")).select("id", "sig")
+    rest = rest.join(sigs, "id")
+    block = lambda of: F.expr(f"int(pmod(xxhash64(id), {of}))")
+    numbers = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    outer = rest.where("comp != main").select("*", F.lit(0).alias("side"), block("outer_blocks").alias("i"), numbers("blocks").alias("j"))
+    every = rest.select("*", F.lit(1).alias("side"), numbers("outer_blocks").alias("i"), block("blocks").alias("j"))
+    met = outer.unionByName(every).select(*KEYS, "side", "id", "n", "comp", "sig").repartition(*KEYS).sortWithinPartitions(*KEYS)
+    found = R.table(spark, met.mapInArrow(_across(num, den, arrow), f"a {kind}, b {kind}, bucket long, i int, j int, side int, comp {kind}"), "found")
+    single = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = confirm(spark, docs, R.table(spark, single, "single"), several, k, num, den)
+    crowd = found.where("b is null").select(*KEYS, "side", F.col("a").alias("id"), "comp")
+    crowd = crowd.join(_sets_of(spark, docs, crowd, several, k), "id").repartition(*KEYS).sortWithinPartitions(*KEYS)
+    return [more, R.table(spark, crowd.mapInArrow(_dense(num, den), f"a {kind}, b {kind}"), "dense")]
+
+
 def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id reachable through links), kept."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(docs.dtypes)["id"]
     signed = R.table(spark, docs.mapInArrow(_signed(k, bands_for(num, den)), f"id {kind}, n long, f1 long, f2 long, bands array<long>, sig binary"), "signed")
-    rows = signed.where("n > 0 and id is not null")
-    same = rows.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    same = R.table(spark, same, "classes")
-    classed = rows.join(R.sized(same), ["n", "f1", "f2"], "left")
-    members = R.table(spark, classed.select("id", F.coalesce("rep", "id").alias("rep")), "members")
-    # One row for each class; a class that no other row shares has no rep of its own.
-    lone = classed.where("rep is null").select("id", "n", "bands", "sig")
-    shared = classed.where("rep = id").dropDuplicates(["id", "f1", "f2"]).select("id", "n", "bands", "sig")
-    classes = R.table(spark, lone.unionByName(shared), "reps")
-
-    banded = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    hubs = R.table(spark, hubs, "hubs")
-    held = R.table(spark, banded.join(R.sized(hubs), "bucket"), "held")
-    sizes = R.table(spark, held.where("id = hub").select("bucket", F.col("n").alias("hn")).dropDuplicates(["bucket"]), "sizes")
+    several = R.sieve(spark, signed.where("id is not null").groupBy("id").count().where("count > 1"), "id")
+    # Members of a class are linked to its smallest id; so are the sets of an id that rows repeat with different texts.
+    classes, members = _classes(spark, signed.where("n > 0 and id is not null"))
+    held = _buckets(spark, classes)
     fits = F.expr(f"{den} * least(n, hn) >= {num} * greatest(n, hn)")
-    stars = held.where("id != hub").join(R.sized(sizes), "bucket").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = R.table(spark, stars, "stars")
-    links = confirm(spark, docs, stars, k, num, den)
-
-    # Ids that rows repeat with different texts are one node: tie the classes that such an id belongs to.
-    repeated = members.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    first = R.table(spark, components(spark, links), "first")
-    part = held.join(R.sized(first), held["id"] == first["node"], "left").select("bucket", "id", "n", "m", F.coalesce("component", "id").alias("comp"))
-    mixed = part.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-    mixed = R.table(spark, mixed, "mixed")
-    rest = part.join(R.sized(mixed), "bucket", "left_semi").withColumn("parts", F.expr(f"int(ceil(m / {BLOCK}))"))
-    rest = rest.withColumn("block", F.expr("int(pmod(xxhash64(id), parts))"))
-    rest = rest.join(classes.select("id", "sig"), "id")
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp", "sig")
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    rest = rest.repartition(*KEYS).sortWithinPartitions(*KEYS)
-    found = rest.mapInArrow(_across(num, den, arrow), f"a {kind}, b {kind}, bucket long, i int, j int, block int, comp {kind}")
-    found = R.table(spark, found, "found")
-    single = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirm(spark, docs, R.table(spark, single, "single"), k, num, den)
-    crowd = found.where("b is null").select(*KEYS, "block", F.col("a").alias("id"), "comp")
-    ids = R.table(spark, crowd.select("id").distinct(), "crowd")
-    sets = docs.join(R.sized(ids), "id", "left_semi").select("id", "text").mapInArrow(_sets(k), f"id {kind}, set binary")
-    crowd = crowd.join(R.table(spark, sets, "sets"), "id").repartition(*KEYS).sortWithinPartitions(*KEYS)
-    dense = R.table(spark, crowd.mapInArrow(_dense(num, den), f"a {kind}, b {kind}"), "dense")
-
-    whole = components(spark, links.unionByName(more).unionByName(dense).unionByName(repeated))
-    whole = R.table(spark, whole, "whole")
-    linked = signed.select("id", "n").join(R.sized(whole), signed["id"] == whole["node"], "left")
-    comp = F.coalesce("component", "id")
+    stars = R.table(spark, held.where("id != hub").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    links = confirm(spark, docs, stars, several, k, num, den)
+    whole = links.unionByName(members)
+    for more in _round_two(spark, docs, classes, held, links, several, k, num, den):
+        whole = whole.unionByName(more)
+    whole = components(spark, whole)
+    rows = signed.select("id", "n")
+    linked = rows.where("id is not null").join(whole, rows["id"] == whole["node"], "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
+    linked = linked.unionByName(rows.where("id is null").withColumn("comp", F.col("id")))
     return linked.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("id").eqNullSafe(F.col("comp")).alias("kept")
     )
 
 
 def keep_near(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs that stay, with all their columns: one document of each component."""
     groups = near_groups(spark, docs, id_col, text_col, k, num, den)
-    gone = R.table(spark, groups.where("not kept").select(id_col).distinct(), "gone")
-    return docs.join(R.sized(gone), id_col, "left_anti").select(*docs.columns)
+    gone = R.table(spark, groups.where("not kept").select(F.col(id_col).alias("id")).distinct(), "gone")
+    dropped = F.coalesce(R.sieve(spark, gone, "id")("id"), F.lit(False)) & F.col("id").isNotNull()
+    # Ids that the sieve takes for dropped ones by mistake; only rows of theirs are shuffled.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    mistaken = R.table(spark, docs.select(F.col(id_col).alias("id")).where(dropped).join(gone, "id", "left_anti").distinct(), "mistaken")
+    back = rows.where(dropped & R.sieve(spark, mistaken, "id")("id")).join(gone, "id", "left_anti")
+    return rows.where(~dropped).unionByName(back).select("row.*")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     R.prepare(spark)
     return near_groups(spark, R.load(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
+#: DuckDB SQL of op2: shingle sets, their links, and components by the smallest id that spreads along links.
+OP2_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id),
+l AS (
+  SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= 85 * (p.n + q.n - both)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (
+  SELECT doc_id, doc_id AS c FROM documents
+  UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b),
+c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
