@@ -223,7 +223,7 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, alpha: float
     R.prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = R.arrow_type(rows, "id")
     held = f"slice long, ids array<{kind}>, lengths array<long>, context array<long>, vocabulary binary, words binary"
     words = R.table(spark, rows.mapInArrow(_sliced(order, id_type, slice_words), held), "words")
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)

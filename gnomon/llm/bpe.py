@@ -12,8 +12,9 @@ import numpy as np
 
 from gnomon.llm import _text as T
 
-#: Parts whose ids a worker keeps before it starts afresh; bounds its memory, a matter of speed alone.
-KEPT = 400_000
+#: Slots for parts whose ids a worker keeps (a power of two; a part may be in two of them), and ids that it keeps before it
+#: starts afresh. Both bound its memory (60 MB) and are a matter of speed alone.
+KEPT, POOL = 1 << 21, 6 << 20
 _rng = np.random.Generator(np.random.PCG64(99))
 _EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LETTER, DIGIT, SIGN, WHITE, FOREIGN = 0, 1, 2, 3, 4
@@ -44,7 +45,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.size = np.zeros(KEPT, np.uint64), np.zeros(KEPT, np.int32), np.zeros(KEPT, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def direct(self, text: str) -> np.ndarray:
@@ -121,6 +122,8 @@ class Encoder:
         if len(foreign):
             use &= ~np.isin(row, foreign)
         starts, ends, row = starts[use], ends[use], row[use]
+        if self.used > POOL:
+            self.forget()
         at, size = self._known(text, starts, ends)
         # Where each part's ids go: rows in order, foreign rows in their places.
         size_of = np.bincount(row, size, rows).astype(np.int64)
@@ -143,30 +146,38 @@ class Encoder:
     def _known(self, text, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         """Where in the pool the ids of each part are, and how many."""
         h = T.hashes_of(T.prefix_sums(_EXACT[text]), starts, ends)
-        h, one, place = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, h)
-        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != h) if len(self.keys) else np.arange(len(h))
-        if len(self.keys) + len(new) > KEPT:
-            self.forget()
-            at, new = np.zeros(len(h), np.int64), np.arange(len(h))
-        if len(new):
-            held, where, tokenize, shown = text.tobytes(), [], self.model.tokenize, self.shown
-            got: list[int] = []
-            for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True):
-                where.append(len(got))
-                got += [t.id for t in tokenize("".join([shown[c] for c in held[a:b]]))]
-            where.append(len(got))
+        mask, high = np.uint64(KEPT - 1), np.uint64(32)
+        slot = (h & mask).view(np.int64)
+        miss = np.flatnonzero(self.keys[slot] != h)
+        slot[miss] = ((h[miss] >> high) & mask).view(np.int64)
+        miss = miss[self.keys[slot[miss]] != h[miss]]
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        if len(miss):
+            new, one, place = np.unique(h[miss], return_index=True, return_inverse=True)
+            where, got = self._asked(text, starts[miss[one]].tolist(), ends[miss[one]].tolist())
             need = self.used + len(got)
             if need > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros(need, np.uint32)])
             self.pool[self.used : need] = got
-            ends_ = np.array(where, np.int64)
-            self.keys = np.insert(self.keys, at[new], h[new])
-            self.at = np.insert(self.at, at[new], ends_[:-1] + self.used)
-            self.size = np.insert(self.size, at[new], np.diff(ends_))
+            own, n = where[:-1] + self.used, np.diff(where)
             self.used = need
-            at = np.searchsorted(self.keys, h)
-        return self.at[at][place], self.size[at][place]
+            at[miss], size[miss] = own[place], n[place]
+            # A part goes to the first of its slots if that is free, else to the second, where it may take another's place.
+            first = (new & mask).view(np.int64)
+            goes = np.where(self.keys[first] == 0, first, ((new >> high) & mask).view(np.int64))
+            _, last = np.unique(goes, return_index=True)
+            goes = goes[last]
+            self.keys[goes], self.at[goes], self.size[goes] = new[last], own[last], n[last]
+        return at, size
+
+    def _asked(self, text, starts: list[int], ends: list[int]) -> tuple[np.ndarray, list[int]]:
+        """Ids of parts from the library's model, and where each part's begin."""
+        held, where, tokenize, shown = text.tobytes(), [0], self.model.tokenize, self.shown
+        got: list[int] = []
+        for a, b in zip(starts, ends, strict=True):
+            got += [t.id for t in tokenize("".join([shown[c] for c in held[a:b]]))]
+            where.append(len(got))
+        return np.array(where, np.int64), got
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from gnomon.llm import backoff, exact, language, near, packing, secrets, tokenfile, toxicity, transducer, vectors
+
+from gnomon.llm import backoff, exact, language, near, packing, pipeline, secrets, tokenfile, toxicity, transducer, vectors
 
 
 def queries() -> dict:
@@ -18,7 +18,7 @@ def queries() -> dict:
         "op8_sentencepiece": transducer.op8_sentencepiece,
         "op9_lm_scoring": backoff.op9_lm_scoring,
         "op10_language_id": language.op10_language_id,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

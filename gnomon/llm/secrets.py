@@ -1,11 +1,16 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from labelled
-samples. A run of token characters whose log-likelihood ratio says "random" becomes a span of kind `markov`, unless spans
-of the fixed patterns, which always stay, cover it wholly; one that reaches beyond them stays beside them. Everything is DataFrame expressions; there is no shuffle, so no key can be hot.
+samples. A run of 16 or more token characters, or of characters of one alphabet of keys, whose log-likelihood ratio says
+"random" becomes a span of kind `markov`, unless spans of the fixed patterns, which always stay, cover it wholly; one that
+reaches beyond them stays beside them. Everything is DataFrame expressions; there is no shuffle, so no key can be hot.
 
-Defined results: a null text is empty and has no spans; other columns, whatever their names, pass through `scan`
-untouched except those that it adds, which replace columns of the same name; offsets are code points, end exclusive.
+Arrays that later expressions look into are bound by generators of one row, so that nothing is computed anew for each
+element; running sums and maxima go block by block. So the work on a text grows with its length and number of matches.
+
+Defined results: a null text is empty and has no spans; other columns, whatever their names, pass through `scan` and
+`redact` untouched, but for those that `scan` adds, which replace columns of the same name; offsets are code points, end
+exclusive; an empty table gives no rows. Runs of fewer than 16 characters are left to the fixed patterns.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ CANDIDATES = [rf"(?<![{a}])[{a}]{{16,}}+" for a in ("A-Za-z0-9+/_=-", "A-Za-z0-9
 LEAST_RATIO, LEAST_RATIO_PER_CHAR = 8.0, 0.35
 #: Labelled samples of each class and the pseudo-count of the models.
 SAMPLES, PSEUDO = 6000, 0.5
-_BLOCK = 64
+#: Elements of a block of running sums and maxima; characters of a part from which pieces of a long text are taken.
+_BLOCK, _PART = 128, 8192
 
 #: Ordinary words from which the identifiers of the labelled sample are put together.
 WORDS = (
@@ -132,53 +138,92 @@ def ratio(token: Column, model: list[float]) -> Column:
     return end["s"]
 
 
-def _starts(gaps: str, hits: str) -> tuple[str, str, str, str]:
-    """SQL of the offsets at which hits begin, in linear time but for the sums of blocks: lengths, sums of blocks,
-    sums before each block, offsets."""
-    d = f"transform({hits}, (x, i) -> length({gaps}[i]) + if(i > 0, length({hits}[i - 1]), 0))"
-    b = f"transform(sequence(0, int((size(__d) - 1) / {_BLOCK})), b -> aggregate(slice(__d, b * {_BLOCK} + 1, {_BLOCK}), 0L, (a, x) -> a + x))"
-    p = "transform(__b, (x, b) -> aggregate(slice(__b, 1, b), 0L, (a, y) -> a + y))"
-    s = f"transform(__d, (x, i) -> __p[int(i / {_BLOCK})] + aggregate(slice(__d, int(i / {_BLOCK}) * {_BLOCK} + 1, i % {_BLOCK} + 1), 0L, (a, y) -> a + y))"
-    return d, b, p, s
-
-
-def _found(df: DataFrame, text: str, regex: str, order: int, kind: str, out: str, passes) -> DataFrame:
-    """Adds `out`: array of (start, end, order, kind) of the leftmost non-overlapping matches that pass."""
-    df = df.withColumn("__m", F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0)))
-    df = df.withColumn("__g", F.when(F.size("__m") > 0, F.split(F.col(text), regex, -1)))
-    d, b, p, s = _starts("__g", "__m")
-    some = "size(__m) > 0"
-    df = df.withColumn("__d", F.expr(f"if({some}, {d}, null)")).withColumn("__b", F.expr(f"if({some}, {b}, null)"))
-    df = df.withColumn("__p", F.expr(f"if({some}, {p}, null)")).withColumn("__s", F.expr(f"if({some}, {s}, null)"))
-    spans = F.transform(
-        F.arrays_zip("__s", "__m"),
-        lambda z: F.struct(
-            z["__s"].alias("start"), (z["__s"] + F.length(z["__m"])).alias("end"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), passes(z["__m"]).alias("ok")
-        ),
-    )
-    kept = F.transform(F.filter(spans, lambda z: z["ok"]), lambda z: F.struct(z["start"], z["end"], z["rank"], z["kind"]))
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,rank:int,kind:string>>)")
-    return df.withColumn(out, F.coalesce(F.when(F.size("__m") > 0, kept), none)).drop("__m", "__g", "__d", "__b", "__p", "__s")
+def _running(df: DataFrame, out: str, values: str, op: str) -> DataFrame:
+    """Adds `out`: the running sum ("+") or maximum ("max") of the SQL array of longs `values`."""
+    both = (lambda a, b: f"{a} + {b}") if op == "+" else (lambda a, b: f"greatest({a}, {b})")
+    zero = "0L" if op == "+" else "-1L"
+    v, b, p = (f"{out}_{x}" for x in "vbp")
+    # Indices in place of slices: slice() goes through the whole array each time.
+    fold = lambda first, last, of: f"aggregate(sequence({first}, {last}), {zero}, (a, j) -> {both('a', f'{of}[j]')})"
+    df = R.bound(df, v, F.expr(f"transform({values}, x -> cast(x as bigint))"))
+    blocks = fold(f"b * {_BLOCK}", f"least(size({v}), (b + 1) * {_BLOCK}) - 1", v)
+    df = R.bound(df, b, F.expr(f"if(size({v}) = 0, cast(array() as array<bigint>), transform(sequence(0, int((size({v}) - 1) div {_BLOCK})), b -> {blocks}))"))
+    df = R.bound(df, p, F.expr(f"transform({b}, (x, b) -> if(b = 0, {zero}, {fold('0', 'b - 1', b)}))"))
+    own = fold(f"int(i div {_BLOCK}) * {_BLOCK}", "i", v)
+    return R.bound(df, out, F.expr(f"transform({v}, (x, i) -> {both(f'{p}[int(i div {_BLOCK})]', own)})")).drop(v, b, p)
+
+
+def _merged(df: DataFrame, out: str, spans: str, touching: bool) -> DataFrame:
+    """Adds `out`: (start, end) of what the spans, which come by start, cover together; spans that touch count as one if
+    `touching`."""
+    df = _running(df, "top", f"transform({spans}, x -> x.end)", "max")
+    apart = ">" if touching else ">="
+    df = R.bound(df, "cuts", F.expr(f"filter(transform({spans}, (x, i) -> if(i = 0 or x.start {apart} top[i - 1], i, -1)), i -> i >= 0)"))
+    last = "if(k + 1 < size(cuts), cuts[k + 1], size(top)) - 1"
+    return R.bound(df, out, F.expr(f"transform(cuts, (i, k) -> named_struct('start', {spans}[i].start, 'end', top[{last}]))")).drop("top", "cuts")
+
+
+def _step(m: str):
+    return lambda z, i: F.length(z["gap"]) + F.when(i > 0, F.length(F.col(m)[i - 1])).otherwise(0)
+
+
+def _passes(group: int, least: int):
+    return (lambda z: F.length(F.regexp_extract(z["m"], ASSIGN, group)) >= least) if group else (lambda z: F.length(z["m"]) >= least)
+
+
+def _span(rank: int, kind: str):
+    return lambda z: F.struct(z["start"], z["end"], F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
+
+
+def _scanned(df: DataFrame, model: list[float]) -> DataFrame:
+    """df (row, text) with base and every: arrays of (start, end, rank, kind), by start, then kind as listed."""
+    patterns = [*(regex for _, regex, _, _ in BASE), *CANDIDATES]
+    steps = []
+    for k, regex in enumerate(patterns):
+        df = R.bound(df, f"m{k}", F.regexp_extract_all("text", F.lit(regex), F.lit(0)))
+        # From the start of one match to the start of the next, by what stands between them.
+        m = f"m{k}"
+        gaps = F.arrays_zip(F.slice(F.split("text", regex, -1), 1, F.size(m)).alias("gap"))
+        step = _step(m)
+        steps.append(F.when(F.size(m) > 0, F.transform(gaps, step)).otherwise(F.array().cast("array<int>")))
+    df = R.bound(df, "steps", F.concat(*steps))
+    df = _running(df, "sums", "steps", "+")
+    found = []
+    for k in range(len(patterns)):
+        before = " + ".join(["0", *(f"size(m{n})" for n in range(k))])
+        base = f"if({before} = 0, 0L, sums[{before} - 1])"
+        found.append(f"transform(m{k}, (m, i) -> named_struct('start', sums[{before} + i] - {base}, 'end', sums[{before} + i] - {base} + length(m), 'm', m))")
+    spans = []
+    for k, (kind, _, group, least) in enumerate(BASE):
+        spans.append(F.transform(F.filter(F.expr(found[k]), _passes(group, least)), _span(k, kind)))
+    df = R.bound(df, "base", F.array_sort(F.concat(*spans)))
+    df = _merged(df, "covered", "base", True)
+    # Runs that several alphabets find are judged once; of judged runs, those within another go. (array_distinct would
+    # compare every struct with every other.)
+    runs = F.concat(*[F.expr(f"transform({x}, z -> named_struct('start', z.start, 'back', -z.end, 'm', z.m))") for x in found[len(BASE) :]])
+    df = R.bound(df, "every_run", F.array_sort(runs))
+    once = F.expr("filter(transform(every_run, (x, i) -> if(i = 0 or x.start != every_run[i - 1].start or x.back != every_run[i - 1].back, x, null)), x -> x is not null)")
+    judged = F.filter(once, lambda z: F.exists(F.array(ratio(z["m"], model)), lambda r: (r >= LEAST_RATIO) & (r >= LEAST_RATIO_PER_CHAR * F.length(z["m"]))))
+    df = R.bound(df, "runs", F.transform(judged, lambda z: F.struct(z["start"], (-z["back"]).alias("end"))))
+    df = _running(df, "reach", "transform(runs, x -> x.end)", "max")
+    df = R.bound(df, "outer", F.expr("filter(transform(runs, (x, i) -> if(i = 0 or reach[i - 1] < x.end, x, null)), x -> x is not null)"))
+    both = "array_sort(concat(transform(covered, x -> named_struct('start', x.start, 'mark', 0, 'end', x.end)), transform(outer, x -> named_struct('start', x.start, 'mark', 1, 'end', x.end))))"
+    df = R.bound(df, "both", F.expr(both))
+    df = _running(df, "cover", "transform(both, x -> if(x.mark = 0, x.end, -1L))", "max")
+    apart = "filter(transform(both, (x, i) -> if(x.mark = 1 and cover[i] < x.end, x, null)), x -> x is not null)"
+    markov = F.transform(F.expr(apart), _span(len(BASE), "markov"))
+    return R.bound(df, "every", F.array_sort(F.concat("base", markov))).select("row", "text", "base", "every")
+
+
+def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def scan(spark: SparkSession, docs: DataFrame, text_col: str = "text", model: list[float] | None = None) -> DataFrame:
     """docs with base_spans and all_spans: arrays of (start, end, rank, kind), by start, then kind as listed."""
-    model = model or default_model(spark)
-    df = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    for k, (kind, regex, group, least) in enumerate(BASE):
-        ok = (lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6) if group else (lambda m, n=least: F.length(m) >= n)
-        df = _found(df, "__text", regex, k, kind, f"__k{k}", ok)
-    judged = lambda m: (ratio(m, model) >= LEAST_RATIO) & (ratio(m, model) >= LEAST_RATIO_PER_CHAR * F.length(m))
-    runs = [f"__r{i}" for i in range(len(CANDIDATES))]
-    for name, regex in zip(runs, CANDIDATES, strict=True):
-        df = _found(df, "__text", regex, len(BASE), "markov", name, judged)
-    df = df.withColumn("__r", F.array_distinct(F.concat(*runs)))
-    df = df.withColumn("__k3", F.expr("filter(__r, m -> not exists(__r, r -> r.start <= m.start and r.end >= m.end and r.end - r.start > m.end - m.start))"))
-    df = df.withColumn("base_spans", F.array_sort(F.concat("__k0", "__k1", "__k2")))
-    # How far the base spans, which come by start, cover a run without a gap.
-    apart = "filter(__k3, m -> aggregate(base_spans, m.start, (a, b) -> if(b.start <= a, greatest(a, b.end), a)) < m.end)"
-    df = df.withColumn("all_spans", F.array_sort(F.concat("base_spans", F.expr(apart))))
-    return df.drop("__text", "__k0", "__k1", "__k2", "__k3", "__r", *runs)
+    df = _scanned(_rows(docs, text_col), model or default_model(spark))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("base_spans", "all_spans")]
+    return df.select(*kept, F.col("base").alias("base_spans"), F.col("every").alias("all_spans"))
 
 
 def joined(spans: str) -> Column:
@@ -188,19 +233,17 @@ def joined(spans: str) -> Column:
 def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
     """docs with every span replaced by `mark`; overlapping spans count as one. Texts without spans, null among them,
     stay as they are."""
-    names = docs.columns
-    df = scan(spark, docs, text_col)
-    # Spans by start, merged where they overlap: (start, end) of each merged one.
-    merged = """aggregate(all_spans, cast(array() as array<struct<start:bigint,end:bigint>>), (a, z) ->
-      if(size(a) > 0 and z.start < a[size(a) - 1].end,
-         concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, z.end)))),
-         concat(a, array(named_struct('start', z.start, 'end', z.end)))))"""
-    df = df.withColumn("__u", F.when(F.size("all_spans") > 0, F.expr(merged)))
-    t = f"`{text_col}`"
-    kept = f"transform(__u, (z, i) -> substring({t}, int(if(i = 0, 0, __u[i - 1].end)) + 1, int(z.start - if(i = 0, 0, __u[i - 1].end))))"
-    tail = f"substring({t}, int(__u[size(__u) - 1].end) + 1, length({t}))"
-    new = F.when(F.size("all_spans") > 0, F.concat(F.array_join(F.expr(kept), mark), F.lit(mark), F.expr(tail))).otherwise(F.col(text_col))
-    return df.withColumn("__new", new).select(*[F.col("__new").alias(c) if c == text_col else F.col(c) for c in names])
+    df = _merged(_scanned(_rows(docs, text_col), default_model(spark)), "gone", "every", False)
+    some = "size(gone) > 0"
+    # A long text is cut into parts first: taking a piece out of a string counts its characters from the string's start.
+    parts = f"transform(sequence(0, int(length(text) div {_PART})), p -> substring(text, p * {_PART} + 1, {_PART}))"
+    df = R.bound(df, "parts", F.expr(f"if({some}, {parts}, null)"))
+    kept = "transform(gone, (z, i) -> named_struct('a', if(i = 0, 0L, gone[i - 1].end), 'b', z.start))"
+    df = R.bound(df, "kept", F.expr(f"if({some}, concat({kept}, array(named_struct('a', gone[size(gone) - 1].end, 'b', cast(length(text) as bigint)))), null)"))
+    own = f"substring(parts[p], int(greatest(z.a - p * {_PART}, 0)) + 1, int(least(z.b - p * {_PART}, {_PART}) - greatest(z.a - p * {_PART}, 0)))"
+    piece = f"if(z.a >= z.b, '', array_join(transform(sequence(int(z.a div {_PART}), int((z.b - 1) div {_PART})), p -> {own}), ''))"
+    new = F.when(F.expr(some), F.array_join(F.expr(f"transform(kept, z -> {piece})"), mark)).otherwise(F.col("row")[text_col])
+    return df.select(*[new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Orders two, one and zero each predict the next id: the last id seen after the two ids before, after the id before, and
-the last id with the same low byte. Whether a prediction holds is a binary event whose probability mixes, in the
-logistic domain with weights that adapt, an estimate by the prediction's confidence and one by what held before; the
-three events make one interval, which a carry-less range coder narrows. An id that no order predicts is coded in full.
-All arithmetic is on integers, so coder and decoder agree everywhere. Blocks are reset independently; all blocks of a
-batch are coded in step, one lane each, by array operations.
+Orders two and one each predict the next id: the id last seen after the two ids before, and after the one before, each
+with how sure it is. Whether a prediction holds is a binary event. What order two and order one say of it, by how sure
+they are and whether they agree, is mixed in the logistic domain with weights that adapt. What neither predicts is coded by
+order zero, the ids of the block with their adaptive frequencies; an id that is new to the block escapes and is coded in
+full. The three make one interval of 65536ths, which a range coder narrows. Predictions, chances and weights are brought up
+to date every `STEP` ids and frequencies at the places `_renewals` gives, so that encoder and decoder do the same work on
+many ids at once; all blocks of a batch are coded in step, one lane each, by array operations. All arithmetic is on
+integers, but for divisions whose quotients double precision gives exactly, so coder and decoder agree everywhere.
 
 File: Parquet rows (shard, record, first, doc_ids, lengths, payload), a record holding whole documents, `first` the ids
-before it in its shard, shards and records in ascending order of ids. payload: blocks, each "GTB1", number of ids,
+before it in its shard, shards and records in ascending order of ids. payload: blocks, each "GTB2", number of ids,
 number of 16-bit words, crc32 of the ids as little-endian 32-bit integers (three little-endian 32-bit integers), words.
 A block whose checksum fails raises ValueError.
 
@@ -30,143 +32,249 @@ from gnomon.llm import _runtime as R
 from gnomon.llm import _text as T
 from gnomon.llm.bpe import encoder, with_ends
 
-#: Ids of a block, ids after which a record is closed, slots of the order-one and order-two tables.
-BLOCK, RECORD, SLOTS = 4096, 1 << 14, 1024
-MAGIC = b"GTB1"
+#: Ids of a block, and ids after which a record is closed.
+BLOCK, RECORD = 4096, 1 << 14
+#: Ids between updates of predictions; slots of the order-one and order-two tables (2**10) and of order zero's index (2**12),
+#: the most ids that order zero holds, and the total of its frequencies (2**12).
+STEP, _SLOT_BITS, _INDEX_BITS, _MOST, _TOTAL_BITS = 64, 10, 12, 2048, 12
+_TOTAL = 1 << _TOTAL_BITS
+MAGIC = b"GTB2"
 END = 2
-_MASK, _TOP, _BOT = (1 << 48) - 1, 1 << 32, 1 << 24
+_CONTEXTS = 32  # how sure order two is (4), how sure order one is (4), whether they agree
 _s = np.arange(-2047, 2048)
-_SQUASH = np.clip(np.round(65536 / (1 + np.exp(-_s / 256))), 48, 65536 - 48).astype(np.int64)
+_SQUASH = np.clip(np.round(65536 / (1 + np.exp(-_s / 256))), 32, 65536 - 32).astype(np.int64)
 _p = (np.arange(4096) + 0.5) / 4096
 _STRETCH = np.clip(np.round(256 * np.log(_p / (1 - _p))), -2047, 2047).astype(np.int64)
+_ONE, _TWO, _THREE, _FOUR = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263))
+_LOW32, _C = (1 << 32) - 1, np.arange(_CONTEXTS)
+#: Of each context: what order two's and order one's own chances go by.
+_BY_TWO, _BY_ONE = _C >> 2, (_C & 3) | (_C >> 4 << 2)
 
 
-_THREE = np.arange(3)[:, None]
-_SHIFT = np.array([4, 5])[:, None, None]
+def _renewals(n: int) -> list[int]:
+    """Places at which order zero's frequencies are renewed in a block of n ids: multiples of STEP."""
+    return [x for x in (64, 128, 256, 512, 1024, *range(1536, n, 512)) if x < n]
 
 
 class _Model:
-    """Predictions and their probabilities in each lane. A table's entry is an id and, in its low two bits, how sure."""
+    """What all lanes know. An entry of the tables is an id and, in its low two bits, how sure; -4 for none."""
 
     def __init__(self, lanes: int, wide: bool):
-        kind = np.int64 if wide else np.int32  # of ids; those of 16 bits fit the smaller with room for the two bits
-        self.lane = np.arange(lanes)
-        self.slot, self.low = self.lane * SLOTS, self.lane * 256
-        self.entry = [np.full(lanes * SLOTS, -4, kind) for _ in range(2)]
-        self.zero = np.full(lanes * 256, -1, kind)
-        # Chances of each order by its confidence (8 of them) and by what held before (16), of all lanes.
-        self.chance = np.full(3 * lanes * 24, 1 << 14, np.int64)
-        self.base = (_THREE * lanes + self.lane) * 24
-        self.weight = np.full((2, 3, lanes), 1 << 15, np.int64)
-        self.before, self.last, self.history = (np.zeros(lanes, np.int64) for _ in range(3))
-
-    def predict(self, m: int) -> np.ndarray:
-        """Bounds, in 65536ths, of the intervals of "order two holds", "order one holds", "order zero holds", "none"."""
-        a, b, slot, history = self.last[:m], self.before[:m], self.slot[:m], self.history[:m]
-        step = a * 2654435761
-        self.at = [slot + (((a * 40503 + b * 2654435761) >> 7) & (SLOTS - 1)), slot + ((step >> 11) & (SLOTS - 1))]
-        self.held = [self.entry[k].take(self.at[k], mode="wrap") for k in range(2)]
-        self.guess = [h >> 2 for h in self.held]
-        index = np.empty((2, 3, m), np.int64)
-        base = self.base[:, :m]
-        np.bitwise_and(self.held[0], 3, out=index[0, 0])
-        index[0, 1] = (self.held[1] & 3) + 4 * (self.guess[0] == self.guess[1])
-        np.bitwise_and(history, 7, out=index[0, 2])
-        index[0] += base
-        np.add(base, history + 8, out=index[1])
-        self.index, self.was = index, self.chance.take(index, mode="wrap")
-        self.st = _STRETCH.take(self.was >> 4, mode="wrap")
-        dot = (self.weight[:, :, :m] * self.st).sum(axis=0) >> 16
-        np.clip(dot, -2047, 2047, out=dot)
-        dot += 2047
-        self.p = _SQUASH.take(dot, mode="wrap")
-        bounds = np.empty((5, m), np.int64)
-        bounds[0], bounds[4], ends = 0, 65536, bounds[1:4]
-        ends[0] = self.p[0]
-        ends[1] = ends[0] + ((65536 - ends[0]) * self.p[1] >> 16)
-        ends[2] = ends[1] + ((65536 - ends[1]) * self.p[2] >> 16)
-        ends[2] = np.minimum(np.maximum(ends[2], ends[1] + 1), 65535)
-        ends[1] = np.minimum(ends[1], 65534)
-        ends[1] = np.maximum(ends[1], ends[0] + 1)
-        ends[2] = np.maximum(ends[2], ends[1] + 1)
-        return bounds
-
-    def update(self, m: int, ids: np.ndarray, symbol: np.ndarray) -> None:
-        tried, goal = _THREE <= symbol, (_THREE == symbol) * 65535
-        self.weight[:, :, :m] += self.st * ((goal - self.p) * tried) >> 14
-        self.was += ((goal - self.was) >> _SHIFT) * tried
-        self.chance[self.index.ravel()] = self.was.ravel()
-        for k in range(2):
-            held = self.held[k]
-            sure = held & 3
-            right = self.guess[k] == ids
-            missed = np.where(sure > 0, held - 1, ids << 2)
-            self.entry[k][self.at[k]] = np.where(right, held + (sure < 3), missed)
-        self.zero[self.low[:m] + (ids & 255)] = ids
-        self.before[:m] = self.last[:m]
-        self.last[:m] = ids
-        self.history[:m] = (self.history[:m] << 2 & 12) | symbol
+        self.kind = np.int64 if wide else np.int32
+        self.lanes, lane = lanes, np.arange(lanes)
+        self.lane, self.slot, self.context = lane, lane << _SLOT_BITS, lane * _CONTEXTS
+        self.two, self.one = (np.full(lanes << _SLOT_BITS, -4, self.kind) for _ in range(2))
+        # Of each event (order two holds; order one holds, order two doesn't): hits and tries by context, weights.
+        self.hits = np.zeros((2, lanes, _CONTEXTS), np.int64)
+        self.tries = np.zeros((2, lanes, _CONTEXTS), np.int64)
+        self.weight = np.full((2, 2, lanes, 1), 36000, np.int64)
+        # Order zero: the index of ids by slot, the ids, their counts.
+        self.index = np.full(lanes << _INDEX_BITS, -1, np.int16)
+        self.known, self.width = np.zeros(lanes, np.int64), 64
+        self.ids, self.counts = np.zeros((lanes, 64), self.kind), np.zeros((lanes, 64), np.int32)
+        self.escaped, self.seen = np.ones(lanes, np.int64), np.ones(lanes, np.int64)
+        self._mix()
+        self._frequencies()
+
+    def look(self, a: np.ndarray, b: np.ndarray, m: int):
+        """Places and entries of the predictions after ids b, a (unsigned 32-bit), and contexts, of m lanes."""
+        at2 = ((a * _ONE + b * _TWO) >> np.uint32(32 - _SLOT_BITS)) + self.slot[:m]
+        at1 = ((a * _THREE) >> np.uint32(32 - _SLOT_BITS)) + self.slot[:m]
+        two, one = self.two[at2], self.one[at1]
+        guess2, guess1 = two >> 2, one >> 2
+        context = ((two & 3) << 2) + (one & 3) + ((guess2 == guess1) << 4)
+        return at2, at1, two, one, guess2, guess1, context
+
+    def _mix(self) -> None:
+        """Bounds of "order two holds" and "order one holds" in each context (shifted by 20 bits, and added), from the chances by order two's and by
+        order one's sureness, mixed; and what the weights are to learn from."""
+        if not hasattr(self, "bound"):
+            self.inputs, self.chance = [None, None], [None, None]
+        for e in range(2):
+            own = []
+            for by, n in ((_BY_TWO, 8), (_BY_ONE, 8)):
+                hit, tried = np.zeros((self.lanes, n), np.int64), np.zeros((self.lanes, n), np.int64)
+                for c in range(_CONTEXTS):
+                    hit[:, by[c]] += self.hits[e, :, c]
+                    tried[:, by[c]] += self.tries[e, :, c]
+                own.append(_STRETCH.take(((hit * 4 + 1) * 4096 // (tried * 4 + 8))).take(by, axis=1))
+            dot = (self.weight[e, 0] * own[0] + self.weight[e, 1] * own[1]) >> 16
+            self.inputs[e], self.chance[e] = own, _SQUASH.take(np.clip(dot, -2047, 2047) + 2047)
+        first = np.minimum(self.chance[0], 61440 - 64)
+        second = first + np.maximum((65536 - first) * self.chance[1] >> 16, 1)
+        self.bound = (first << 20 | np.minimum(second, 61440)).ravel()
+
+    def learn(self, ids: np.ndarray, valid: np.ndarray | None, looked, mix: bool) -> None:
+        """Bring predictions, and with `mix` bounds, up to date with ids (places by lanes); valid None: all of them."""
+        at2, at1, two, one, guess2, guess1, context = looked
+        m = ids.shape[1]
+        hit2, hit1 = guess2 == ids, guess1 == ids
+        # Of each lane and context: how often order two held, order one alone did, and neither.
+        nth = ((context + self.context[:m]) << 2) + np.where(hit2, 0, 2 - hit1)
+        seen = np.bincount(nth.ravel() if valid is None else nth[valid], minlength=self.lanes * _CONTEXTS * 4).reshape(self.lanes, _CONTEXTS, 4)
+        left = seen[:, :, 1] + seen[:, :, 2]
+        for e, (hits, tries) in enumerate(((seen[:, :, 0], seen[:, :, 0] + left), (seen[:, :, 1], left))):
+            error = hits * 65536 - tries * self.chance[e]
+            for k in range(2):
+                step = (error * self.inputs[e][k]).sum(axis=1, keepdims=True) >> 16
+                self.weight[e, k] = np.clip(self.weight[e, k] + np.clip(step, -4000, 4000), 0, 1 << 17)
+            self.hits[e] += hits
+            self.tries[e] += tries
+        if mix:
+            self._mix()
+        for table, at, entry, hit in ((self.two, at2, two, hit2), (self.one, at1, one, hit1)):
+            sure = entry & 3
+            # An entry that held is surer, one that was sure is less so, another gives way; -4 (none) is never sure.
+            made = np.where(hit, np.where(sure < 3, entry + 1, entry), np.where(sure > 0, entry - 1, ids << 2))
+            if valid is None:
+                table[at] = made
+            else:
+                table[at[valid]] = made[valid]
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers in order zero of ids (places by lanes), -1 for none."""
+        m = ids.shape[1]
+        slot = ((ids.astype(np.uint32) * _FOUR) >> np.uint32(32 - _INDEX_BITS)) + (self.lane[:m] << _INDEX_BITS)
+        d = self.index[slot]
+        held = self.ids.ravel()[d + self.lane[:m] * self.width]  # -1, none, gives the cell before
+        return np.where((d >= 0) & (held == ids), d, -1)
+
+    def renew(self, ids: np.ndarray, valid: np.ndarray) -> None:
+        """Order zero's ids, counts and frequencies, after ids (places by lanes) that were coded since the last time."""
+        m = ids.shape[1]
+        slot = ((ids.astype(np.uint32) * _FOUR) >> np.uint32(32 - _INDEX_BITS)) + (self.lane[:m] << _INDEX_BITS)
+        fresh = np.flatnonzero((self.index[slot] < 0) & valid)
+        if len(fresh):
+            key, first = np.unique(slot.ravel()[fresh], return_index=True)  # of ids that share a slot, the first stays
+            lane, own = key >> _INDEX_BITS, ids.ravel()[fresh[first]]
+            start = np.searchsorted(lane, np.arange(self.lanes))
+            d = self.known[lane] + np.arange(len(key)) - start[lane]
+            room = d < _MOST
+            key, lane, own, d = key[room], lane[room], own[room], d[room]
+            need = int(d.max(initial=0)) + 1
+            if need > self.width:
+                more = max(need, min(_MOST, self.width * 2)) - self.width
+                self.ids, self.counts = (np.pad(x, ((0, 0), (0, more))) for x in (self.ids, self.counts))
+                self.width += more
+            self.ids[lane, d] = own
+            self.index[key] = d
+            self.known = np.maximum(self.known, np.bincount(lane, minlength=self.lanes) + self.known)
+        d = self.find(ids)
+        met = (d >= 0) & valid
+        now = np.bincount((d + self.lane[:m] * self.width)[met], minlength=self.lanes * self.width)
+        self.counts += now.reshape(self.lanes, self.width).astype(np.int32)
+        fresh_of = np.bincount(fresh % m, minlength=self.lanes) if len(fresh) else np.zeros(self.lanes, np.int64)
+        self.escaped, self.seen = self.escaped // 2 + fresh_of, self.seen // 2 + np.bincount(np.flatnonzero(valid) % m, minlength=self.lanes)
+        self._frequencies()
+
+    def _frequencies(self) -> None:
+        """Frequencies of ids in order zero, with that of the escape last, and their sums."""
+        room = _TOTAL - self.known - np.clip(_TOTAL * (self.escaped + 1) // (self.seen + 2), 16, _TOTAL // 2)
+        total = np.maximum(self.counts.sum(axis=1), 1)
+        # Counts and room are below 2**13: their products, and the floors of the doubles, are exact.
+        share = (self.counts * np.maximum(room, 0).astype(np.float64)[:, None] / total[:, None]).astype(np.int32)
+        freq = np.zeros((self.lanes, self.width + 1), np.int32)
+        freq[:, :-1] = np.where(np.arange(self.width) < self.known[:, None], share + 1, 0)
+        freq[:, -1] = _TOTAL - freq.sum(axis=1)
+        self.freq = freq
+        self.packed = ((np.cumsum(freq, axis=1, dtype=np.int32) - freq) << 13 | freq).ravel()
+        self.row = self.lane * (self.width + 1)
+
+    def slots(self) -> np.ndarray:
+        """The number in order zero of each of the _TOTAL slots of each lane."""
+        return np.repeat(np.tile(np.arange(self.width + 1, dtype=np.int16), self.lanes), self.freq.ravel())
+
+
+def _chunks(size: np.ndarray):
+    """(first, end, lanes at first, renew: where the frequencies were renewed last, if they are to be renewed at the end)."""
+    n, last = int(size[0]), 0
+    due = set(_renewals(n))
+    for t in range(0, n, STEP):
+        end = min(t + STEP, n)
+        renew = last if end in due else None
+        yield t, end, int(np.searchsorted(-size, -t, "left")), renew
+        if end in due:
+            last = end
+
+
+def _valid(size: np.ndarray, t: int, end: int, m: int) -> np.ndarray | None:
+    """Which of the places t to end the blocks have; None for all."""
+    return None if size[m - 1] >= end else np.arange(t, end)[:, None] < size[:m]
+
+
+def _mixes(end: int) -> bool:
+    """Whether bounds are mixed anew after `end` ids."""
+    return end <= 4 * STEP or end % (4 * STEP) == 0
+
+
+def _before(grid: np.ndarray, t: int, end: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids one and two places before each of the places t to end; 0 before the block."""
+    a, b = np.zeros((2, end - t, m), np.uint32)
+    a[max(0, 1 - t) :] = grid[max(0, t - 1) : end - 1, :m]
+    b[max(0, 2 - t) :] = grid[max(0, t - 2) : max(0, end - 2), :m]
+    return a, b
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids (unsigned 32-bit, at least one id) as bytes with its header."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    size = np.array([len(blocks[i]) for i in order])
     lanes = len(blocks)
     if not lanes:
         return []
-    grid = np.zeros((int(size[0]), lanes), np.int64)
-    for k, i in enumerate(order):
-        grid[: size[k], k] = blocks[i]
+    order = sorted(range(lanes), key=lambda i: -len(blocks[i]))
+    size = np.array([len(blocks[i]) for i in order])
     wide = np.array([int(blocks[i].max()) > 65535 for i in order])
     model = _Model(lanes, bool(wide.any()))
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    out, used = np.zeros((lanes, 2 * int(size[0]) + 64), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(hit: np.ndarray, start, freq) -> None:
-        nonlocal out
-        s = span.take(hit, mode="wrap")
-        r = s >> 16
-        a, s = low.take(hit, mode="wrap") + start * r, r * freq
-        low[hit], span[hit] = a, s
-        while True:
-            same = ((a & _MASK) ^ ((a + s) & _MASK)) < _TOP
-            same &= (a + s) <= _MASK
-            go = same | (s < _BOT)
-            hit, a, s, same = hit[go], a[go], s[go], same[go]
-            if not len(hit):
-                return
-            s = np.where(same, s, np.minimum(s, _BOT - (a & (_BOT - 1))))
-            if used[hit].max() >= out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
-            out[hit, used[hit]] = a >> 32
-            used[hit] += 1
-            a, s = (a << 16) & _MASK, s << 16
-            low[hit], span[hit] = a, s
-
-    for t in range(int(size[0])):
-        m = int(np.searchsorted(-size, -t, "left"))
-        ids = grid[t, :m]
-        bounds = model.predict(m)
-        zero = model.zero[model.low[:m] + (ids & 255)]
-        no0, no1, no2 = model.guess[0] != ids, model.guess[1] != ids, zero != ids
-        symbol = no0 * (1 + no1 * (1 + no2.astype(np.int64)))
-        at = symbol * m + model.lane[:m]
-        start, end = bounds.take(at, mode="wrap"), bounds.take(at + m, mode="wrap")
-        put(model.lane[:m], start, end - start)
-        rest = np.flatnonzero(symbol >= 2)  # lanes whose id isn't known yet: its low byte, or all of it
-        if len(rest):
-            byte, own = symbol[rest] == 2, ids[rest]
-            put(rest, np.where(byte, (own & 255) << 8, own & 65535), np.where(byte, 256, 1))
-            full = rest[wide[rest] & ~byte]
+    grid = np.zeros((int(size[0]), lanes), model.kind)
+    for k, i in enumerate(order):
+        grid[: size[k], k] = blocks[i]
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
+    width = 3 * int(size[0]) + 8  # an id takes two words, three in wide blocks
+    out, at = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
+
+    def put(hit, start, freq) -> None:
+        r = span[hit] >> 16
+        a, s = low[hit] + start * r, r * freq
+        go = s < (1 << 32)
+        out[at[hit]] = a >> 32  # overwritten later where no word is due
+        at[hit] += go
+        shift = go << 4
+        low[hit], span[hit] = np.where(go, a & _LOW32, a) << shift, s << shift
+
+    for t, end, m, renew in _chunks(size):
+        ids = grid[t:end, :m]
+        looked = model.look(*_before(grid, t, end, m), m)
+        guess2, guess1 = looked[4], looked[5]
+        bound = model.bound[looked[6] + model.context[:m]]
+        b2, b1 = bound >> 20, bound & 1048575
+        d = model.find(ids)
+        held = model.packed[np.where(d < 0, model.width, d) + model.row[:m]]
+        start, rest = held >> 13, 65536 - b1
+        stop = b1 + (rest * (start + (held & 8191)) >> _TOTAL_BITS)
+        start = b1 + (rest * start >> _TOTAL_BITS)
+        two, one = guess2 == ids, guess1 == ids
+        start = np.where(two, 0, np.where(one, b2, start))
+        freq = np.where(two, b2, np.where(one, b1, stop)) - start
+        escape = (d < 0) & ~two & ~one
+        for k in range(end - t):
+            own = int(np.searchsorted(-size, -(t + k), "left"))
+            put(slice(0, own), start[k, :own], freq[k, :own])
+            full = np.flatnonzero(escape[k, :own])
             if len(full):
-                put(full, ids[full] >> 16, 1)
-        model.update(m, ids, symbol)
+                put(full, ids[k, full].astype(np.int64) & 65535, 1)
+                far = full[wide[full]]
+                if len(far):
+                    put(far, ids[k, far] >> 16, 1)
+        model.learn(ids, _valid(size, t, end, m), looked, _mixes(end))
+        if renew is not None:
+            model.renew(grid[renew:end, :m], np.arange(renew, end)[:, None] < size[:m])
     made: list[bytes] = [b""] * lanes
     for k, i in enumerate(order):
-        words = np.concatenate([out[k, : used[k]], [(int(low[k]) >> s) & 65535 for s in (32, 16, 0)]]).astype("<u2")
+        words = np.concatenate([out[k * width : at[k]], [int(low[k]) >> 32, (int(low[k]) >> 16) & 65535, int(low[k]) & 65535]]).astype(np.uint32)
+        while (over := words >> 16).any():  # carries
+            words &= 65535
+            words[:-1] += over[1:]
         crc = zlib.crc32(blocks[i].astype("<u4").tobytes())
-        made[i] = MAGIC + struct.pack("<III", len(blocks[i]) | (int(wide[k]) << 31), len(words), crc) + words.tobytes()
+        made[i] = MAGIC + struct.pack("<III", len(blocks[i]) | (int(wide[k]) << 31), len(words), crc) + words.astype("<u2").tobytes()
     return made
 
 
@@ -184,67 +292,87 @@ def split(payload: bytes) -> list[bytes]:
 
 def decode(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; ValueError where a checksum fails."""
-    heads = [struct.unpack_from("<III", b, 4) for b in blocks]
-    count = [h[0] & 0x7FFFFFFF for h in heads]
-    order = sorted(range(len(blocks)), key=lambda i: -count[i])
-    size = np.array([count[i] for i in order])
     lanes = len(blocks)
     if not lanes:
         return []
+    heads = [struct.unpack_from("<III", b, 4) for b in blocks]
+    count = [h[0] & 0x7FFFFFFF for h in heads]
+    order = sorted(range(lanes), key=lambda i: -count[i])
+    size = np.array([count[i] for i in order])
     wide = np.array([heads[i][0] >> 31 == 1 for i in order])
-    words = np.zeros((lanes, max(h[1] for h in heads) + 4), np.int64)
+    width = max(h[1] for h in heads) + 8
+    words = np.zeros(lanes * width, np.uint16)
     for k, i in enumerate(order):
         w = np.frombuffer(blocks[i], "<u2", heads[i][1], 16)
-        words[k, : len(w)] = w
+        words[k * width : k * width + len(w)] = w
     model = _Model(lanes, bool(wide.any()))
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    code = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]
-    used = np.full(lanes, 3)
-    grid = np.zeros((int(size[0]), lanes), np.int64)
-    last = words.shape[1] - 1
-
-    def target(hit: np.ndarray) -> np.ndarray:
-        return np.minimum(((code[hit] - low[hit]) & _MASK) // (span[hit] >> 16), 65535)
-
-    def take(hit: np.ndarray, start, freq) -> None:
-        s = span.take(hit, mode="wrap")
-        r = s >> 16
-        a, s = low.take(hit, mode="wrap") + start * r, r * freq
-        low[hit], span[hit] = a, s
-        while True:
-            same = ((a & _MASK) ^ ((a + s) & _MASK)) < _TOP
-            same &= (a + s) <= _MASK
-            go = same | (s < _BOT)
-            hit, a, s, same = hit[go], a[go], s[go], same[go]
-            if not len(hit):
-                return
-            s = np.where(same, s, np.minimum(s, _BOT - (a & (_BOT - 1))))
-            code[hit] = ((code[hit] << 16) & _MASK) | words[hit, np.minimum(used[hit], last)]
-            used[hit] += 1
-            a, s = (a << 16) & _MASK, s << 16
-            low[hit], span[hit] = a, s
-
-    for t in range(int(size[0])):
-        m = int(np.searchsorted(-size, -t, "left"))
-        bounds = model.predict(m)
-        v = target(model.lane[:m])
-        symbol = (v >= bounds[1:4]).sum(axis=0)
-        at = symbol * m + model.lane[:m]
-        start, end = bounds.take(at, mode="wrap"), bounds.take(at + m, mode="wrap")
-        take(model.lane[:m], start, end - start)
-        ids = np.where(symbol == 0, model.guess[0], model.guess[1]).astype(np.int64)
-        rest = np.flatnonzero(symbol >= 2)
-        if len(rest):
-            byte, v = symbol[rest] == 2, target(rest)
-            take(rest, np.where(byte, v & 0xFF00, v), np.where(byte, 256, 1))
-            ids[rest] = np.where(byte, model.zero[model.low[rest] + (v >> 8)], v)
-            full = rest[wide[rest] & ~byte]
+    span, at = np.full(lanes, (1 << 48) - 1, np.int64), np.arange(lanes) * width
+    ends = at + width - 1
+    code = (words[at].astype(np.int64) << 32) | (words[at + 1].astype(np.int64) << 16) | words[at + 2]
+    at += 3
+    grid = np.zeros((int(size[0]), lanes), model.kind)
+    slots = model.slots()
+    base = model.lane << _TOTAL_BITS
+
+    def take(hit, r, start, freq) -> None:
+        s, c = r * freq, code[hit] - start * r
+        go = s < (1 << 32)
+        shift = go << 4
+        here = at[hit]
+        code[hit] = np.where(go, c << 16 | words[here], c)
+        span[hit] = s << shift
+        at[hit] = np.minimum(here + go, ends[hit])
+
+    def flat(hit) -> np.ndarray:
+        r = span[hit] >> 16
+        v = np.minimum((code[hit] / r).astype(np.int64), 65535)
+        take(hit, r, v, 1)
+        return v
+
+    for t, end, m, renew in _chunks(size):
+        looks = []
+        a, b = _before(grid, t, t + 1, m)
+        a, b = a[0], b[0]
+        for k in range(t, end):
+            own = int(np.searchsorted(-size, -k, "left"))
+            looked = model.look(a[:own], b[:own], own)
+            bound = model.bound[looked[6] + model.context[:own]]
+            b1 = bound & 1048575
+            r = span[:own] >> 16
+            # Dividends are below 2**49 and quotients below 2**17: the floor of the double is that of the exact quotient.
+            v = (code[:own] / r).astype(np.int64)
+            v[v > 65535] = 65535
+            rest, past = 65536 - b1, v - b1
+            hit = np.flatnonzero(past < 0)
+            past[hit] = 0
+            d = slots[((past << _TOTAL_BITS | (_TOTAL - 1)) / rest).astype(np.int64) + base[:own]]
+            held = model.packed[d + model.row[:own]]
+            start = held >> 13
+            stop = b1 + (rest * (start + (held & 8191)) >> _TOTAL_BITS)
+            start = b1 + (rest * start >> _TOTAL_BITS)
+            ids = model.ids.ravel().take(d + model.lane[:own] * model.width, mode="clip")  # an escape's is no id
+            full = d == model.width
+            if len(hit):
+                full[hit] = False
+                two, b2 = v[hit] < bound[hit] >> 20, bound[hit] >> 20
+                start[hit], stop[hit] = np.where(two, 0, b2), np.where(two, b2, b1[hit])
+                ids[hit] = np.where(two, looked[4][hit], looked[5][hit])
+            take(slice(0, own), r, start, stop - start)
+            full = np.flatnonzero(full)
             if len(full):
-                high = target(full)
-                take(full, high, 1)
-                ids[full] |= high << 16
-        model.update(m, ids, symbol)
-        grid[t, :m] = ids
+                ids[full] = flat(full)
+                far = full[wide[full]]
+                if len(far):
+                    ids[far] |= (flat(far) << 16).astype(model.kind)
+            grid[k, :own] = ids
+            looks.append(looked)
+            b, a = a, ids.astype(np.uint32)
+        if len(looks[-1][0]) < m:  # lanes that ended on the way: what stands there doesn't count
+            looks = [tuple(np.pad(x, (0, m - len(x))) for x in looked) for looked in looks]
+        model.learn(grid[t:end, :m], _valid(size, t, end, m), tuple(np.stack(x) for x in zip(*looks, strict=True)), _mixes(end))
+        if renew is not None:
+            model.renew(grid[renew:end, :m], np.arange(renew, end)[:, None] < size[:m])
+            slots = model.slots()
     made: list = [None] * lanes
     for k, i in enumerate(order):
         ids = grid[: size[k], k].astype(np.uint32)
@@ -303,8 +431,7 @@ def write(spark: SparkSession, docs: DataFrame, target: str, path: str, kind: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id")
     kind_of = dict(rows.dtypes)["id"]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind_of]
-    rows.mapInArrow(_written(path, kind, end, arrow), SCHEMA.format(kind_of)).write.parquet(target)
+    rows.mapInArrow(_written(path, kind, end, R.arrow_type(rows, "id")), SCHEMA.format(kind_of)).write.parquet(target)
 
 
 def _read(batches):
