@@ -1,65 +1,5 @@
-"""Stages that turn raw documents into packed sequences. Every stage but the last returns the columns of documents."""
+"""The stages of the corpus pipeline, for those who look for them at the top; they are in gnomon.llm.pipeline."""
 
-from __future__ import annotations
+from gnomon.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, exact_dedup, near_dedup, packing, run, secrets, toxicity
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from gnomon.llm import _runtime as R
-from gnomon.llm.exact import keep_exact
-from gnomon.llm.near import keep_near
-from gnomon.llm.packing import packed_documents
-from gnomon.llm.secrets import redact
-from gnomon.llm.toxicity import keep_clean
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine, trained on the labels, scores below one half."""
-    R.prepare(spark)
-    return keep_clean(spark, docs.select(*COLUMNS), R.load(spark, sf_dir, "labels"))
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    R.prepare(spark)
-    return keep_exact(spark, docs.select(*COLUMNS))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of documents whose five-word shingles have a similarity of 0.8 or more."""
-    R.prepare(spark)
-    return keep_near(spark, docs.select(*COLUMNS), k=5, num=80, den=100)
-
-
-def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a mark; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
-    R.prepare(spark)
-    out = redact(spark, docs.select(*COLUMNS))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of all documents in sequences of at most 1024 ids."""
-    R.prepare(spark)
-    return packed_documents(spark, docs)
-
-
-STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]
-
-#: The machine of the first stage is trained, and byte-pair ids of the last come from a library: no SQL expresses them.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    R.prepare(spark)
-    docs = R.load(spark, sf_dir, "documents")
-    root = f"{R.scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "exact_dedup", "near_dedup", "packing", "run", "secrets", "toxicity"]
