@@ -163,6 +163,17 @@ def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with its columns called in0, in1 and so on, which no inner name is, and these names."""
+    names = [f"in{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns in0, in1 and so on of df under their names in docs."""
+    return df.select(*[F.col(f"in{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

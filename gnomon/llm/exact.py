@@ -33,9 +33,11 @@ def folded(text: Column) -> Column:
 
 
 def _hashed(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, digest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (row: the input's columns, id, h: full hash, null where the refinement told the text apart), a table of their
+    """Rows (in0 and so on: the input's columns, id, h: full hash, null where the refinement told the text apart), a table of their
     ids and hashes, and one of groups of several equal texts (h, size, keep, copies: rows with the kept id)."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows, names = R.apart(docs)
+    at = docs.columns.index
+    rows = rows.select("*", F.col(names[at(id_col)]).alias("id"), F.coalesce(F.col(names[at(text_col)]), F.lit("")).alias("text"))
     rows = R.bound(rows, "n", F.octet_length("text"))
     lengths = rows.groupBy("n").count().where("count > 1")
     length_met = R.sieve(spark, lengths, "n")
@@ -51,7 +53,7 @@ def _hashed(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, di
     best = F.max(F.struct("id", "c"))  # a null id is the least of all
     groups = by_id.groupBy("h").agg(F.sum("c").alias("size"), best.alias("best")).where("size > 1")
     groups = R.table(spark, groups.select("h", "size", F.col("best.id").alias("keep"), F.col("best.c").alias("copies")), "groups")
-    return rows.select("row", "id", "h"), hashes, groups
+    return rows.select(*names, "id", "h"), hashes, groups
 
 
 def exact_groups(
@@ -77,9 +79,10 @@ def keep_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     copied = F.coalesce(R.sieve(spark, groups, "h")("h"), F.lit(False)) & F.col("h").isNotNull()
     met = R.attach(rows.where(copied), groups, ["h"], ["id"], hashes.where("h is not null"))
     best = met.where(F.col("size").isNull() | F.col("id").eqNullSafe(F.col("keep")))
-    once = best.where("size is null or copies = 1").select("row")
-    several = best.where("copies > 1").groupBy("h").agg(F.first("row").alias("row")).select("row")
-    return rows.where(~copied).select("row").unionByName(once).unionByName(several).select("row.*")
+    names = rows.columns[:-2]
+    once = best.where("size is null or copies = 1").select(*names)
+    several = best.where("copies > 1").groupBy("h").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    return R.restored(rows.where(~copied).select(*names).unionByName(once).unionByName(several), docs)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

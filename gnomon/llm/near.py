@@ -345,10 +345,11 @@ def keep_near(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     gone = R.table(spark, groups.where("not kept").select(F.col(id_col).alias("id")).distinct(), "gone")
     dropped = F.coalesce(R.sieve(spark, gone, "id")("id"), F.lit(False)) & F.col("id").isNotNull()
     # Ids that the sieve takes for dropped ones by mistake; only rows of theirs are shuffled.
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    rows, names = R.apart(docs)
+    rows = rows.withColumn("id", F.col(names[docs.columns.index(id_col)]))
     mistaken = R.table(spark, docs.select(F.col(id_col).alias("id")).where(dropped).join(gone, "id", "left_anti").distinct(), "mistaken")
     back = rows.where(dropped & R.sieve(spark, mistaken, "id")("id")).join(gone, "id", "left_anti")
-    return rows.where(~dropped).unionByName(back).select("row.*")
+    return R.restored(rows.where(~dropped).unionByName(back), docs)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,7 +176,8 @@ def _span(rank: int, kind: str):
 
 
 def _scanned(df: DataFrame, model: list[float]) -> DataFrame:
-    """df (row, text) with base and every: arrays of (start, end, rank, kind), by start, then kind as listed."""
+    """df (its last column: text) with base and every: arrays of (start, end, rank, kind), by start, then kind as listed."""
+    names = df.columns[:-1]
     patterns = [*(regex for _, regex, _, _ in BASE), *CANDIDATES]
     steps = []
     for k, regex in enumerate(patterns):
@@ -212,17 +213,18 @@ def _scanned(df: DataFrame, model: list[float]) -> DataFrame:
     df = _running(df, "cover", "transform(both, x -> if(x.mark = 0, x.end, -1L))", "max")
     apart = "filter(transform(both, (x, i) -> if(x.mark = 1 and cover[i] < x.end, x, null)), x -> x is not null)"
     markov = F.transform(F.expr(apart), _span(len(BASE), "markov"))
-    return R.bound(df, "every", F.array_sort(F.concat("base", markov))).select("row", "text", "base", "every")
+    return R.bound(df, "every", F.array_sort(F.concat("base", markov))).select(*names, "text", "base", "every")
 
 
 def _rows(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows, names = R.apart(docs)
+    return rows.withColumn("text", F.coalesce(F.col(names[docs.columns.index(text_col)]).cast("string"), F.lit("")))
 
 
 def scan(spark: SparkSession, docs: DataFrame, text_col: str = "text", model: list[float] | None = None) -> DataFrame:
     """docs with base_spans and all_spans: arrays of (start, end, rank, kind), by start, then kind as listed."""
     df = _scanned(_rows(docs, text_col), model or default_model(spark))
-    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("base_spans", "all_spans")]
+    kept = [F.col(f"in{k}").alias(c) for k, c in enumerate(docs.columns) if c not in ("base_spans", "all_spans")]
     return df.select(*kept, F.col("base").alias("base_spans"), F.col("every").alias("all_spans"))
 
 
@@ -242,8 +244,9 @@ def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text", mark: s
     df = R.bound(df, "kept", F.expr(f"if({some}, concat({kept}, array(named_struct('a', gone[size(gone) - 1].end, 'b', cast(length(text) as bigint)))), null)"))
     own = f"substring(parts[p], int(greatest(z.a - p * {_PART}, 0)) + 1, int(least(z.b - p * {_PART}, {_PART}) - greatest(z.a - p * {_PART}, 0)))"
     piece = f"if(z.a >= z.b, '', array_join(transform(sequence(int(z.a div {_PART}), int((z.b - 1) div {_PART})), p -> {own}), ''))"
-    new = F.when(F.expr(some), F.array_join(F.expr(f"transform(kept, z -> {piece})"), mark)).otherwise(F.col("row")[text_col])
-    return df.select(*[new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    own = f"in{docs.columns.index(text_col)}"
+    new = F.when(F.expr(some), F.array_join(F.expr(f"transform(kept, z -> {piece})"), mark)).otherwise(F.col(own))
+    return R.restored(df.withColumn(own, new), docs)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
