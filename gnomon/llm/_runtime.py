@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import functools
+import gc
 import io
-import operator
 import sys
 import tempfile
 import uuid
@@ -23,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 64-bit words of a sieve, a power of two (1 MB; the session may set spark.gnomon.sieve.words), and words of its rows. A
-#: key sets three bits: of a million keys, a sieve lets through 1 row in 36 that isn't wanted, of two million 1 in 8.
+#: 64-bit words of a sieve, a power of two from 1024 on (1 MB; the session may set spark.gnomon.sieve.words), and words of
+#: its rows. A key sets three bits of a word: with a million keys a sieve lets through about 1 row in 20 that isn't wanted.
 SIEVE_WORDS, _ROW = 1 << 17, 1 << 10
 #: Parts over which the rows of one key are dealt in joins and groupings.
 SALTS = 256
@@ -67,32 +66,29 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sieve(spark: SparkSession, keys: DataFrame, *columns: str, words: int | None = None) -> Callable[..., Column]:
+def sieve(spark: SparkSession, keys: DataFrame, *columns: str) -> Callable[..., Column]:
     """A test of columns like `columns` of `keys`: true for every row whose values are among the keys', and for few others.
-    The test names its columns many times; `bound` keeps dear ones from being computed as often.
+    The test names its columns several times; `bound` keeps dear ones from being computed as often.
 
-    Its bits are gathered by DataFrame functions and reach the tasks as the value of a one-row subquery."""
+    A key's hash gives a word and three bits of it. The words are gathered by DataFrame functions and reach the tasks as the
+    value of a one-row subquery."""
+    size = int(spark.conf.get("spark.gnomon.sieve.words", str(SIEVE_WORDS)))
 
-    size = words or int(spark.conf.get("spark.gnomon.sieve.words", str(SIEVE_WORDS)))
+    def place(h: Column) -> tuple[Column, Column]:
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, k).bitwiseAND(F.lit(63)).cast("int")) for k in (0, 6, 12)]
+        return F.shiftrightunsigned(h, 64 - (size.bit_length() - 1)), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
-    def places(h: Column) -> list[Column]:
-        return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(64 * size - 1)) for k in (0, 19, 38)]
-
-    at = keys.select(F.xxhash64(*columns).alias("h")).select(F.explode(F.array(*places(F.col("h")))).alias("p"))
-    word, bit = F.expr("shiftright(p, 6)").alias("w"), F.expr("shiftleft(1L, int(p & 63))").alias("b")
-    parts = at.select(word, bit).unionByName(spark.range(size).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")))
-    parts = parts.groupBy("w").agg(F.bit_or("b").alias("b"))
+    word, bits = place(F.col("h"))
+    parts = keys.select(F.xxhash64(*columns).alias("h")).select(word.alias("w"), bits.alias("b"))
+    parts = parts.unionByName(spark.range(size).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))).groupBy("w").agg(F.bit_or("b").alias("b"))
     # Two steps, so that no task puts more than a few thousand words in order.
     rows = parts.groupBy(F.expr(f"w div {_ROW}").alias("r")).agg(F.expr("transform(array_sort(collect_list(struct(w, b))), x -> x.b)").alias("bs"))
     whole = table(spark, rows.agg(F.expr("transform(array_sort(collect_list(struct(r, bs))), x -> x.bs)").alias("words")), "sieve")
 
-    def set_at(words: Column, p: Column) -> Column:
-        row, col = F.shiftright(p, 6 + _ROW.bit_length() - 1).cast("int"), F.shiftright(p, 6).bitwiseAND(F.lit(_ROW - 1)).cast("int")
-        return F.getbit(words[row][col], p.bitwiseAND(F.lit(63)).cast("int")) == 1
-
     def test(*values) -> Column:
-        words, h = whole.scalar(), F.xxhash64(*values)
-        return functools.reduce(operator.and_, [set_at(words, p) for p in places(h)])
+        word, bits = place(F.xxhash64(*values))
+        row, col = F.shiftright(word, _ROW.bit_length() - 1).cast("int"), word.bitwiseAND(F.lit(_ROW - 1)).cast("int")
+        return whole.scalar()[row][col].bitwiseAND(bits) == bits
 
     return test
 
@@ -141,22 +137,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the system. Arrow and the C library keep it apart from each other."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        given = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if given is not None:
+            given(0)
+
+
 def trimmed(run):
-    """run, a function of Arrow batches, giving freed memory back to the system when a task ends: workers stay alive
-    between stages, and what one stage needed must not add up with what the next one needs. Arrow and the C library
-    keep freed memory apart from each other."""
+    """run, a function of Arrow batches, giving freed memory back when a task ends: workers stay alive between stages, and
+    what one stage needed must not add up with what the next one needs."""
 
     def held(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim is not None:
-                trim(0)
+        trim()
 
     return held
 
 
+def settle(spark: SparkSession) -> None:
+    """Between stages: let the driver's JVM drop plans and blocks of stages past, and this process its freed memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+    trim()
+
+
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -40,8 +40,8 @@ from gnomon.llm.graph import components
 #: Least number of bands of a signature, hash evaluations in a band (two values each), and the chance of a link at the
 #: threshold to share no bucket.
 LEAST_BANDS, PER_BAND, MISS = 32, 3, 1e-6
-#: Members of a block when buckets are searched in round two; words of the sieve of buckets of several.
-BLOCK, BUCKET_WORDS = 512, 1 << 19
+#: Members of a block when buckets are searched in round two.
+BLOCK = 512
 
 
 def agreement(both: int, union: int) -> float:
@@ -281,7 +281,7 @@ def _classes(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame
 def _buckets(spark: SparkSession, classes: DataFrame) -> DataFrame:
     """(bucket, id, n, hub, hn) of the members of all buckets of several; hub: the smallest id, hn: the size of its set."""
     banded = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    crowded = R.sieve(spark, banded.groupBy("bucket").count().where("count > 1"), "bucket", words=BUCKET_WORDS)
+    crowded = R.sieve(spark, banded.groupBy("bucket").count().where("count > 1"), "bucket")
     held = R.table(spark, banded.where(crowded("bucket")), "banded")
     hubs = held.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     hubs = hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hn"))

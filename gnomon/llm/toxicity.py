@@ -137,7 +137,10 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column
     label = held.column("label").to_numpy().astype(np.int64)
     slots = [np.asarray(x.values) for x in held.column("slots").combine_chunks()] if held.num_rows else []
     order = sorted(range(len(slots)), key=lambda i: (label[i], len(slots[i]), slots[i].tobytes()))  # however rows arrive
-    return fit(label[order], [slots[i] for i in order], count[1] / (count[0] + count[1]))
+    made = fit(label[order], [slots[i] for i in order], count[1] / (count[0] + count[1]))
+    del held, label, slots
+    R.trim()
+    return made
 
 
 def score(spark: SparkSession, docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
