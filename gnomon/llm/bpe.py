@@ -13,8 +13,8 @@ import numpy as np
 from gnomon.llm import _text as T
 
 #: Slots for parts whose ids a worker keeps (a power of two; a part may be in two of them), and ids that it keeps before it
-#: starts afresh. Both bound its memory (60 MB) and are a matter of speed alone.
-KEPT, POOL = 1 << 21, 6 << 20
+#: starts afresh. Both bound its memory (40 MB) and are a matter of speed alone.
+KEPT, POOL = 1 << 20, 3 << 20
 _rng = np.random.Generator(np.random.PCG64(99))
 _EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LETTER, DIGIT, SIGN, WHITE, FOREIGN = 0, 1, 2, 3, 4
@@ -157,7 +157,7 @@ class Encoder:
             where, got = self._asked(text, starts[miss[one]].tolist(), ends[miss[one]].tolist())
             need = self.used + len(got)
             if need > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(need, np.uint32)])
+                self.pool = np.concatenate([self.pool, np.zeros(need - len(self.pool) + (1 << 18), np.uint32)])
             self.pool[self.used : need] = got
             own, n = where[:-1] + self.used, np.diff(where)
             self.used = need

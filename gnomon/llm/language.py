@@ -2,11 +2,11 @@
 
 A fixed public vocabulary gives the pieces; each language has its own piece probabilities, learned by expectation
 maximisation. The probability of a word is the sum over all its segmentations into pieces, by the forward algorithm;
-a text's is the product over its words (runs of letters, lower-cased; a run of over 32 letters is scored in parts of
-32). The language whose product is largest, each language being as likely as the next beforehand, is predicted; its
+a text's is the product over its words (runs of letters, lower-cased, of any length). The language whose product is largest, each language being as likely as the next beforehand, is predicted; its
 posterior is the score. Ties go to the language first in code-point order.
 
-Learning takes about `per_language` documents of each language, chosen by the hashes of their ids; the model has
+Learning takes about `per_language` documents of each language, chosen by the hashes of their ids, and of these the words
+of at most `LEARNED` letters; the model has
 pieces times languages numbers whatever the input. Prediction reads every whole text once and shuffles nothing.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without a language to learn from, so is
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from gnomon.llm import _runtime as R
 from gnomon.llm import _text as T
 
-#: Documents of each language to learn from, longest run, rounds of expectation maximisation.
-PER_LANGUAGE, RUN, ROUNDS = 1500, 32, 3
+#: Documents of each language to learn from, letters of the longest words to learn from, rounds of expectation maximisation.
+PER_LANGUAGE, LEARNED, ROUNDS = 1500, 32, 3
+#: Letters from which on a run is summed by itself, place by place; a matter of speed and memory alone.
+LONG = 48
 #: Probability of a single character that is no piece, and the pseudo-count of pieces.
 UNKNOWN, PSEUDO = 1e-8, 0.02
 #: Distinct runs whose probabilities a worker keeps; a matter of speed alone.
@@ -108,16 +110,7 @@ def runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     data = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     offs = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
     s, e, first = T.runs(_letters()[data], offs)
-    row = np.repeat(np.arange(len(texts)), np.diff(first))
-    over = np.flatnonzero(e - s > RUN)
-    if len(over):
-        parts = -(-(e - s) // RUN)
-        base, row = np.repeat(s, parts), np.repeat(row, parts)
-        nth = np.arange(len(base)) - np.repeat(np.cumsum(parts) - parts, parts)
-        last = np.repeat(e, parts)
-        s = base + nth * RUN
-        e = np.minimum(s + RUN, last)
-    return data, s, e, row
+    return data, s, e, np.repeat(np.arange(len(texts)), np.diff(first))
 
 
 def marked(data, s, e):
@@ -190,6 +183,30 @@ class Lattice:
         return out
 
 
+def long_log(vocab: Vocabulary, prob: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Log-probability of one run, its word mark included, in each language; sums are scaled as they go, so that none is lost."""
+    reach, scale = vocab.longest, np.zeros(prob.shape[1])
+    window = np.zeros((reach, prob.shape[1]))  # sums of the places before, the nearest first
+    window[0] = 1
+    total = T.prefix_sums(_codes(data))
+    length = np.arange(1, reach + 1)
+    for lo in range(0, len(data), 4096):
+        end = np.arange(lo + 1, min(lo + 4096, len(data)) + 1)[:, None]
+        start = end - length
+        piece = vocab.places(T.hashes_of(total, np.maximum(start, 0).ravel(), np.broadcast_to(end, start.shape).ravel())).reshape(start.shape)
+        piece = np.where(start < 0, vocab.n, piece)
+        piece[:, 0] = np.where(piece[:, 0] == vocab.n, vocab.n + 1, piece[:, 0])
+        for k, chance in enumerate(prob[piece]):
+            here = (window * chance).sum(axis=0)
+            window[1:] = window[:-1]
+            window[0] = here
+            if k % 16 == 15:
+                top = window.max(axis=0)
+                window /= top
+                scale += np.log(top)
+    return np.log(window[0] + 1e-300) + scale
+
+
 @dataclass
 class Model:
     path: str
@@ -208,7 +225,13 @@ class Model:
         old[new] = False
         out[old] = held[at[old]]
         if len(new):
-            out[new] = Lattice(vocabulary(self.path), *marked(data, s[one[new]], e[one[new]])).logs(self.prob)
+            size = e[one[new]] - s[one[new]]
+            far, new = new[size >= LONG], new[size < LONG]
+            vocab = vocabulary(self.path)
+            for i in far.tolist():
+                out[i] = long_log(vocab, self.prob, np.concatenate([np.array([START], np.uint32), data[s[one[i]] : e[one[i]]]]))
+            if len(new):
+                out[new] = Lattice(vocab, *marked(data, s[one[new]], e[one[new]])).logs(self.prob)
             if len(keys) > KEPT:
                 keys, held, at = keys[:0], held[:0], at * 0
             self._kept = np.insert(keys, at[new], h[new]), np.insert(held, at[new], out[new], axis=0)
@@ -258,7 +281,8 @@ def _counted(batches):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         data, s, e, row = runs(texts)
         seen: dict[tuple[str, str], int] = {}
-        for a, b, r in zip(s.tolist(), e.tolist(), row.tolist(), strict=True):
+        few = e - s <= LEARNED
+        for a, b, r in zip(s[few].tolist(), e[few].tolist(), row[few].tolist(), strict=True):
             key = langs[r], data[a:b].tobytes().decode("utf-32-le", "replace")
             seen[key] = seen.get(key, 0) + 1
         yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])

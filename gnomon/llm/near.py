@@ -90,7 +90,7 @@ def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
     """Sub-batches of (id, text) with the shingle set of each row."""
     for batch in batches:
         data, offs = T.text_bytes(batch.column(1))
-        for i, j in T.slices(offs):
+        for i, j in T.slices(offs, 1 << 19):
             *_, hashes, first = T.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             yield batch.slice(i, j - i), [T.row_shingles(hashes[first[r] : first[r + 1]], k) for r in range(j - i)]
 
@@ -367,10 +367,10 @@ s AS (
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 b AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id
   GROUP BY x.doc_id, y.doc_id),
 l AS (
-  SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= 85 * (p.n + q.n - both)),
+  SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (
   SELECT doc_id, doc_id AS c FROM documents

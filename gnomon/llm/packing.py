@@ -191,7 +191,7 @@ def _cut(path: str, kind: str, most: int, end: int, ids: bool):
         enc = encoder(path, kind)
         for batch in batches:
             data, offs = T.text_bytes(batch.column(1))
-            for i, j in T.slices(offs):
+            for i, j in T.slices(offs, 1 << 19):
                 got, first = with_ends(*enc.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), end)
                 row, piece, start, length, crc, held = [], [], [], [], [], []
                 for r in range(j - i):

@@ -410,7 +410,7 @@ def _written(path: str, kind: str, end: int, id_type: pa.DataType):
 
         for batch in batches:
             data, offs = T.text_bytes(batch.column(1))
-            for i, j in T.slices(offs):
+            for i, j in T.slices(offs, 1 << 19):
                 ids, first = with_ends(*enc.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), end)
                 at = 0
                 while at < j - i:

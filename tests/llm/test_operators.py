@@ -439,6 +439,24 @@ def test_language_long_pieces():
     assert place[word] < len(m.prob) and np.allclose(logs[0], [brute_log(word, m.prob[:, k], place) for k in range(2)])
 
 
+@pytest.mark.parametrize("letters", [40, 200, 5000])
+def test_language_long_runs(letters):
+    """All segmentations of long runs count, those across any cut too."""
+    path = P.path("piece_bpe_32k.model")
+    found = language.pieces(path)
+    m = language.fit({("a", "banana"): 3, ("b", "relationship"): 2}, path)
+    place = {p: i for i, p in enumerate(found)}
+    word = "▁" + ("relationshipbananañ" * letters)[:letters]
+    logs = m.logs(*language.runs([word[1:]])[:3])[0]
+    for k in range(2):
+        total, scale = [1.0], 0.0  # the same sums, place by place, scaled at each
+        for j in range(1, len(word) + 1):
+            here = sum(total[-n] * (m.prob[place[word[j - n : j]], k] if word[j - n : j] in place else (language.UNKNOWN if n == 1 else 0)) for n in range(1, min(j, 24) + 1))
+            total = [x / here for x in total[-24:]] + [1.0]
+            scale += np.log(here)
+        assert abs(logs[k] - scale) < 1e-6 * letters
+
+
 def test_language(spark, odd, none):
     path = P.path("piece_bpe_32k.model")
     found = language.pieces(path)
