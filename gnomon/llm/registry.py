@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from gnomon.llm import backoff, exact, language, near, packing, pipeline, secrets, tokenfile, toxicity, transducer, vectors
 
 
@@ -23,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nearest_neighbours": vectors.OP4_SQL, "op7_exact_dedup": exact.OP7_SQL, "op9_lm_scoring": backoff.OP9_SQL}
+    return {"op2_minhash_near_dedup": near.OP2_SQL, "op4_nearest_neighbours": vectors.OP4_SQL, "op7_exact_dedup": exact.OP7_SQL, "op9_lm_scoring": backoff.OP9_SQL}

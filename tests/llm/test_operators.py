@@ -113,6 +113,9 @@ def brute_components(rows, k, num, den):
 def test_near(spark, docs, odd, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.op2_minhash_near_dedup(spark, SF).collect()}
     assert got == brute_components(docs, 3, 85, 100)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert got == {i: (n, c) for i, n, c in db.sql(f"SELECT doc_id, n_shingles, component_id FROM ({near.OP2_SQL})").fetchall()}
     rows = near.near_groups(spark, odd, k=3, num=85, den=100).collect()
     assert len(rows) == odd.count()
     want = brute_components([(r["doc_id"], r["text"]) for r in odd.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()], 3, 85, 100)
