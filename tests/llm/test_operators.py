@@ -160,6 +160,22 @@ def test_exact(spark, odd, none):
     assert exact.exact_groups(spark, none).count() == 0
 
 
+def test_clashing_names(spark):
+    """Columns called like inner ones keep their values in the operators that return whole rows. (Text 3 shares 9 of 10
+    shingles with text 0.)"""
+    R.prepare(spark)
+    names = ["id", "n", "p", "h", "row", "in0", "in1", "__salt", "size", "keep", "m0", "steps", "gone", "parts", "every", "rep", "set"]
+    text = "one two three four five six seven eight nine ten password = hunter22"
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate([text, text, text.upper(), text + " end", None, "", "other words"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    held = {r[0]: r[2:] for r in rows}
+    for out, ids in ((exact.keep_exact(spark, docs), {2, 3, 5, 6}), (near.keep_near(spark, docs), {0, 4, 5, 6}), (secrets.redact(spark, docs), set(range(7)))):
+        got = out.collect()
+        assert out.columns == docs.columns and {r["doc_id"] for r in got} == ids and len(got) == len(ids)
+        assert all(tuple(r)[2:] == held[r["doc_id"]] for r in got)
+    assert {r["doc_id"]: r["text"] for r in got}[0].endswith("ten <SECRET>")
+
+
 def test_token_blocks():
     rng = np.random.default_rng(1)
     blocks = [rng.integers(0, 49408, rng.integers(1, 300)).astype(np.uint32) for _ in range(20)]
