@@ -5,7 +5,8 @@ int8 with one scale a vector, and a tile's matrix product gives approximate dist
 vector is known exactly, so by the triangle inequality the true distance lies within the sum of the two errors of the
 approximate one. A candidate whose lower bound exceeds the k-th smallest upper bound of its query in the tile, one bound
 (the least) for each candidate id, can't be among the query's k nearest; the others are computed anew in double precision
-on the original vectors, and a heap of k of each tile goes on. The heaps of a query meet by pre-aggregation. Every row is compared with every query: recall 1.
+on the original vectors, and a heap of k of each tile goes on. The heaps of a query meet by a rank limit, partition by
+partition first. Every row is compared with every query: recall 1.
 
 Blocks are dealt by row number, so repeated ids or vectors never gather in one block. Blocks are numbered densely and
 met by an equality join on the candidates' block number; nothing is broadcast whose size grows with the data.
@@ -22,7 +23,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gnomon.llm import _runtime as R
@@ -137,12 +138,11 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 1
     sent = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("block"), F.col("ids").alias("qi"), F.col("vecs").alias("qv"))
     tiles = held.join(sent, "block").select("qi", "qv", F.col("ids").alias("ci"), F.col("vecs").alias("cv"), "dim")
     found = tiles.mapInArrow(_tiles(k), "query_id long, score double, vec_id long")
-    # At most k rows of each tile and query; the k least of each query, merged map-side first.
+    # At most k rows of each tile and query. The rank limit is applied in every partition before rows of a query meet, so
+    # no task holds more of a query than it needs, however many tiles there are.
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    heap = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
-    return heap.select("query_id", F.posexplode("top").alias("pos", "hit")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")
-    )
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
