@@ -9,7 +9,8 @@ their ids; the intercept is then moved to the share of toxic rows among all trai
 `features` rows whatever the input. Scoring reads every whole text once and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without terms; rows with a null id count as held out;
-labels other than 0 and 1 don't count; without both labels to learn from every score is 0. Other columns are not read.
+labels other than 0 and 1 don't count, and an id labelled both ways counts as toxic; rows that repeat an id are learned
+from once, by the terms of smallest hash; without both labels to learn from every score is 0. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -119,21 +120,25 @@ def _sampled(batches):
             row, slot = terms(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             pair = np.unique(row * SLOTS + slot)
             cuts = np.searchsorted(pair, np.arange(j - i + 1) * SLOTS).astype(np.int32)
-            yield pa.record_batch(
-                [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cuts), pa.array((pair % SLOTS).astype(np.int32)))], names=["label", "slots"]
-            )
+            slots = pa.ListArray.from_arrays(pa.array(cuts), pa.array((pair % SLOTS).astype(np.int32)))
+            yield pa.record_batch([batch.column(0).slice(i, j - i), slots, batch.column(2).slice(i, j - i)], names=["label", "slots", "id"])
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine | None:
     """Machine from labelled documents for which `train` (a condition on the id column) holds."""
-    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & train).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & train)
+    marked = marked.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
     count = {r["__label"]: r["count"] for r in marked.groupBy("__label").count().collect()}
     if len(count) < 2:
         return None
     near = [marked.where(F.col("__label") == c).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for c in (0, 1)]
-    sample = near[0].unionByName(near[1]).dropDuplicates(["__id"])  # at most 2 * per_class rows
-    texts = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select("__label", F.col(text_col).cast("string").alias("text"))
-    held = texts.mapInArrow(_sampled, "label int, slots array<int>").toArrow().combine_chunks()
+    sample = near[0].unionByName(near[1])  # at most 2 * per_class rows
+    ids = docs.select(F.col(id_col).alias("__own"), F.col(text_col).cast("string").alias("text"))
+    texts = ids.join(F.broadcast(sample), F.col("__own") == F.col("__id")).select("__label", "text", "__id")
+    kind = dict(texts.dtypes)["__id"]
+    slots = texts.mapInArrow(_sampled, f"label int, slots array<int>, id {kind}")
+    once = slots.groupBy("id", "label").agg(F.expr("min_by(slots, xxhash64(slots))").alias("slots")).select("label", "slots")
+    held = once.toArrow().combine_chunks()
     label = held.column("label").to_numpy().astype(np.int64)
     slots = [np.asarray(x.values) for x in held.column("slots").combine_chunks()] if held.num_rows else []
     order = sorted(range(len(slots)), key=lambda i: (label[i], len(slots[i]), slots[i].tobytes()))  # however rows arrive
