@@ -48,7 +48,10 @@ def base_spans(text):
 def test_secrets(spark, docs, odd, none):
     got = {r["doc_id"]: r for r in secrets.op1_secret_scan(spark, SF).collect()}
     for i, t in docs:
-        assert got[i]["base_sha256"] == hashlib.sha256(base_spans(t).encode()).hexdigest()
+        base = base_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [base.count(k) for k in ("assign:", "access:", "hex:")]
+        assert set(filter(None, base.split(","))) <= set(got[i]["spans"].split(","))
     text = "key ghp_aZ3kQ9vX7pLmT2wR8sYdB4nJ6cF1hG0uE5iO and AuthenticationServiceConfigurationManager token: token: abcdefgh é secret='a.b-c_d'"
     rows = [(1, text, None, None, None, 1, 1)]
     out = secrets.scan(spark, spark.createDataFrame(rows, SCHEMA)).first()
@@ -270,6 +273,12 @@ def test_vectors(spark):
     assert vectors.search(spark, few.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_vectors_merge_is_bounded(spark):
+    """Rows of a query are limited before they meet: a rank limit in the plan, and no list of them."""
+    plan = vectors.op4_nearest_neighbours(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "collect_list" not in plan
+
+
 @pytest.mark.parametrize("copies", [2, 10, 300])
 def test_vectors_repeated_ids(copies):
     """Rows that repeat an id nearer than all others leave k - 1 places to other ids."""
@@ -371,6 +380,34 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(spark, none, toxicity.learn(spark, none, few.where("false"), F.lit(True))).count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    """Scores by the definition: every pair of a text's features by itself."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = R.load(spark, sf, "documents"), R.load(spark, sf, "labels")
+    m = toxicity.learn(spark, docs, labels, R.id_hash() % 5 != 0)
+    got = {r["doc_id"]: r["score"] for r in toxicity.op6_toxicity(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows) and len(m.weights) > 1
+    for r in rows[:200]:
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        _, slot = toxicity.terms(raw, np.array([0, len(raw)]))
+        on = sorted({int(m.places[x]) for x in slot if m.places[x] >= 0})
+        margin = m.bias + sum(m.weights[x] for x in on)
+        margin += sum(float(m.factors[x] @ m.factors[y]) for n, x in enumerate(on) for y in on[n + 1 :])
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -30, 30))), abs=1e-9)
+
+
+def test_toxicity_repeated_ids(spark):
+    """Two labels of an id, rows that repeat an id and the order of rows change nothing."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "you rotten scum" if i % 2 else "a fine day", "x") for i in range(60)]
+    marks = [(i, i % 2) for i in range(60)]
+    kinds = "doc_id long, text string, __id string", "doc_id long, toxic int"
+    made = [toxicity.learn(spark, spark.createDataFrame(d, kinds[0]), spark.createDataFrame(n, kinds[1]), F.lit(True)) for d, n in ((rows, marks), (rows[::-1] + rows[:9], marks[::-1] + [(1, 0), (3, 0), (1, 1)]))]
+    assert made[0].bias == made[1].bias and (made[0].weights == made[1].weights).all() and (made[0].factors == made[1].factors).all()
+
+
 def test_interaction():
     """Two terms that are toxic only together; neither tells by itself."""
     rng = np.random.default_rng(4)
