@@ -279,6 +279,43 @@ def test_vectors_merge_is_bounded(spark):
     assert "WindowGroupLimit" in plan and "collect_list" not in plan
 
 
+@pytest.mark.parametrize("seeded", [1 << 19, 1])
+def test_vectors_shuffle(spark, tmp_path, monkeypatch, seeded):
+    """Candidates are shuffled once, not once for each block of queries; with many blocks and with a round before, as by brute force."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(40000, 64)).astype(np.float32)
+    v[3000:3500] = v[0]  # copies, queries among them
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(v))), "embedding": pa.array(list(v))}), f"{tmp_path}/v.parquet")
+    if seeded == 1:
+        monkeypatch.setattr(vectors, "PIECE", 256, raising=False)
+    monkeypatch.setattr(vectors, "SEEDED", seeded, raising=False)
+
+    def written() -> int:
+        known = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(True))
+        return sum(x.totalShuffleWrite() for x in known)
+
+    vectors.R.prepare(spark)
+    before = written()
+    rows = vectors.search(spark, spark.read.parquet(f"{tmp_path}/v.parquet"), F.col("vec_id") % 100 == 0).collect()
+    took = written() - before
+    got: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    for q in (0, 100, 3000, 3400, 7700):
+        total = np.zeros(len(v))
+        for x in (v.astype(np.float64) - v[q]).T:
+            total += x * x
+        d = np.sqrt(total)
+        assert got[q] == sorted((d[i].item(), i) for i in range(len(v)) if i != q)[:10]
+    assert len(got) == 400
+    if seeded != 1:  # 20 blocks of candidates, so each query goes 20 times
+        assert took < 1.25 * (v.nbytes + 20 * 400 * (64 * 4 + 16))
+
+
 @pytest.mark.parametrize("copies", [2, 10, 300])
 def test_vectors_repeated_ids(copies):
     """Rows that repeat an id nearer than all others leave k - 1 places to other ids."""
