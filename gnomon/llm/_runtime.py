@@ -29,9 +29,12 @@ SIEVE_WORDS, _ROW = 1 << 17, 1 << 10
 SALTS = 256
 #: Rows and bytes of an Arrow batch handed to Python workers; bounds their memory on long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Scratch tables after which the driver gives memory back.
+SETTLE = 6
 
 _roots: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: dict[str, int] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -63,6 +66,10 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts lineage and survives lost executors."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    app = spark.sparkContext.applicationId
+    _written[app] = _written.get(app, 0) + 1
+    if _written[app] % SETTLE == 0:
+        settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -112,7 +119,8 @@ def attach(rows: DataFrame, found: DataFrame, on: list[str], by: list[str], keys
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches and make this package importable on the workers."""
+    """Bound the Arrow batches, make this package importable on the workers, and give back what earlier work left on the driver."""
+    settle(spark)
     for key, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
@@ -158,7 +166,7 @@ def trimmed(run):
 
 
 def settle(spark: SparkSession) -> None:
-    """Between stages: let the driver's JVM drop plans and blocks of stages past, and this process its freed memory."""
+    """Let the driver's JVM drop plans and blocks of work past, and this process its freed memory."""
     gc.collect()
     spark._jvm.System.gc()
     trim()

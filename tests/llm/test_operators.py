@@ -568,6 +568,17 @@ def test_language(spark, odd, none):
     assert language.predict(spark, none, language.learn(spark, none, F.lit(True), path)).count() == 0
 
 
+def test_driver_gives_back(spark, monkeypatch):
+    """Stages begin by giving back the driver's memory, and so does every SETTLE-th scratch table within one."""
+    calls = []
+    monkeypatch.setattr(R, "settle", lambda s: calls.append(s))
+    R.prepare(spark)
+    assert len(calls) == 1
+    for k in range(12):
+        assert R.table(spark, spark.range(3), "few").count() == 3
+    assert len(calls) == 3
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
