@@ -30,7 +30,9 @@ SALTS = 256
 #: Rows and bytes of an Arrow batch handed to Python workers; bounds their memory on long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Scratch tables after which the driver gives memory back.
-SETTLE = 6
+SETTLE = 2
+#: Per cent of its heap that the driver's JVM leaves free, at least and at most, when it gives memory back.
+FREE = (10, 20)
 
 _roots: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -119,8 +121,10 @@ def attach(rows: DataFrame, found: DataFrame, on: list[str], by: list[str], keys
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches, make this package importable on the workers, and give back what earlier work left on the driver."""
+    """Bound the Arrow batches, make this package importable on the workers, and give back what earlier work left on
+    the driver and the executors."""
     settle(spark)
+    settle_executors(spark)
     for key, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
@@ -165,13 +169,63 @@ def trimmed(run):
     return held
 
 
+def _tight(jvm, run: Callable[[], None]) -> None:
+    """run while the JVM is bound to leave little of its heap free; after it the bounds are what they were."""
+    try:
+        of = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+        names = ("MinHeapFreeRatio", "MaxHeapFreeRatio")
+        was = [of.getVMOption(n).getValue() for n in names]
+        now = [str(min(int(a), b)) for a, b in zip(was, FREE, strict=True)]
+    except Exception:  # a JVM without these
+        return run()
+    try:
+        for n, v in zip(names, now, strict=True):  # the lower first: at no time may the least be over the most
+            of.setVMOption(n, v)
+        run()
+    except Exception:  # bounds that can't be set while the JVM runs
+        run()
+    finally:
+        for n, v in zip(reversed(names), reversed(was), strict=True):
+            try:
+                of.setVMOption(n, v)
+            except Exception:
+                pass
+
+
+def _trim_jvm(spark: SparkSession) -> None:
+    """Let the C library of the driver's JVM give back what it has freed; JVMs that can't are left as they are."""
+    try:
+        jvm = spark._jvm
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, args)
+    except Exception:
+        pass
+
+
 def settle(spark: SparkSession) -> None:
-    """Let the driver's JVM drop plans and blocks of work past, and this process its freed memory."""
+    """Let the driver's JVM drop plans and blocks of work past and give the memory back, heap and C library's, and this
+    process its freed memory. A heap that a burst of tasks has widened stays wide by itself."""
     gc.collect()
-    spark._jvm.System.gc()
+    _tight(spark._jvm, spark._jvm.System.gc)
+    _trim_jvm(spark)
     trim()
 
 
+def settle_executors(spark: SparkSession) -> None:
+    """Let the executors' JVMs drop what earlier stages left and give heap back: a task for each core calls their collector.
+    A stage's Python workers then have the memory that heaps widened by the stages before would hold."""
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        return  # tasks run in the driver's JVM, which `settle` sees to
+    n = max(1, spark.sparkContext.defaultParallelism)
+    try:
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+    except Exception:  # sessions that don't allow calls of Java methods
+        pass
+
+
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -179,6 +179,21 @@ def test_clashing_names(spark):
     assert {r["doc_id"]: r["text"] for r in got}[0].endswith("ten <SECRET>")
 
 
+def test_settle_narrows_the_heap(spark):
+    """A heap that was wide for a while is given back, and the JVM's bounds are what they were."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    of = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+    bounds = [of.getVMOption(n).getValue() for n in ("MinHeapFreeRatio", "MaxHeapFreeRatio")]
+    held = gateway.new_array(jvm.long, 100_000_000)
+    wide = jvm.Runtime.getRuntime().totalMemory()
+    gateway.detach(held)
+    R.settle(spark)
+    run = jvm.Runtime.getRuntime()
+    total = run.totalMemory()
+    assert wide > 800_000_000 and total < 1.5 * (total - run.freeMemory()) + 32_000_000
+    assert bounds == [of.getVMOption(n).getValue() for n in ("MinHeapFreeRatio", "MaxHeapFreeRatio")]
+
+
 def test_token_blocks():
     rng = np.random.default_rng(1)
     blocks = [rng.integers(0, 49408, rng.integers(1, 300)).astype(np.uint32) for _ in range(20)]
