@@ -172,10 +172,13 @@ class Encoder:
 
     def _asked(self, text, starts: list[int], ends: list[int]) -> tuple[np.ndarray, list[int]]:
         """Ids of parts from the library's model, and where each part's begin."""
-        held, where, tokenize, shown = text.tobytes(), [0], self.model.tokenize, self.shown
+        held, where, tokenize, shown = text.tobytes().decode("latin-1"), [0], self.model.tokenize, self.shown
         got: list[int] = []
         for a, b in zip(starts, ends, strict=True):
-            got += [t.id for t in tokenize("".join([shown[c] for c in held[a:b]]))]
+            part = held[a:b]
+            if not (part.isascii() and part.isprintable()) or " " in part:  # else each character stands for itself
+                part = "".join([shown[ord(c)] for c in part])
+            got += [t.id for t in tokenize(part)]
             where.append(len(got))
         return np.array(where, np.int64), got
 

@@ -7,11 +7,13 @@ order zero, the ids of the block with their adaptive frequencies; an id that is
 full. The three make one interval of 65536ths, which a range coder narrows. Predictions, chances and weights are brought up
 to date every `STEP` ids and frequencies at the places `_renewals` gives, so that encoder and decoder do the same work on
 many ids at once; all blocks of a batch are coded in step, one lane each, by array operations. All arithmetic is on
-integers, but for divisions whose quotients double precision gives exactly, so coder and decoder agree everywhere.
+whole numbers, integers or doubles below 2**53, and divisions are those whose floors double precision gives exactly, so
+coder and decoder agree everywhere.
 
 File: Parquet rows (shard, record, first, doc_ids, lengths, payload), a record holding whole documents, `first` the ids
-before it in its shard, shards and records in ascending order of ids. payload: blocks, each "GTB2", number of ids,
-number of 16-bit words, crc32 of the ids as little-endian 32-bit integers (three little-endian 32-bit integers), words.
+before it in its shard, shards and records in ascending order of ids. payload: blocks, each "GTB3", number of ids,
+number of 16-bit words, crc32 of the ids as little-endian 32-bit integers and of the words (three such integers), words: the
+coder's from the first on, and those of ids coded in full from the last back (of a wide block the low half, then the high).
 A block whose checksum fails raises ValueError.
 
 Defined results: a null or empty text is the end id alone; rows with a null id come first; rows that repeat an id keep
@@ -21,6 +23,7 @@ some order, the same when read; an empty table gives files without rows.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -38,7 +41,7 @@ BLOCK, RECORD = 4096, 1 << 14
 #: the most ids that order zero holds, and the total of its frequencies (2**12).
 STEP, _SLOT_BITS, _INDEX_BITS, _MOST, _TOTAL_BITS = 64, 10, 12, 2048, 12
 _TOTAL = 1 << _TOTAL_BITS
-MAGIC = b"GTB2"
+MAGIC = b"GTB3"
 END = 2
 _CONTEXTS = 32  # how sure order two is (4), how sure order one is (4), whether they agree
 _s = np.arange(-2047, 2048)
@@ -46,47 +49,73 @@ _SQUASH = np.clip(np.round(65536 / (1 + np.exp(-_s / 256))), 32, 65536 - 32).ast
 _p = (np.arange(4096) + 0.5) / 4096
 _STRETCH = np.clip(np.round(256 * np.log(_p / (1 - _p))), -2047, 2047).astype(np.int64)
 _ONE, _TWO, _THREE, _FOUR = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263))
-_LOW32, _C = (1 << 32) - 1, np.arange(_CONTEXTS)
+_SLOT_SHIFT, _INDEX_SHIFT = np.uint32(32 - _SLOT_BITS), np.uint32(32 - _INDEX_BITS)
+#: Of an order zero's cell: start and frequency (13 bits), and the id.
+_FREQ, _ID = (0, 1) if sys.byteorder == "little" else (1, 0)
+_C = np.arange(_CONTEXTS)
 #: Of each context: what order two's and order one's own chances go by.
 _BY_TWO, _BY_ONE = _C >> 2, (_C & 3) | (_C >> 4 << 2)
 
 
+#: The most ids from one renewal to the next, or to a block's end.
+_LONGEST = 512 + STEP
+
+
 def _renewals(n: int) -> list[int]:
     """Places at which order zero's frequencies are renewed in a block of n ids: multiples of STEP."""
     return [x for x in (64, 128, 256, 512, 1024, *range(1536, n, 512)) if x < n]
 
 
+def _either(test: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """np.where of whole numbers of one type by bits, which takes a fifth of its time where the test is hard to foretell."""
+    out = a ^ b
+    out &= -test.astype(out.dtype)
+    out ^= b
+    return out
+
+
 class _Model:
     """What all lanes know. An entry of the tables is an id and, in its low two bits, how sure; -4 for none."""
 
     def __init__(self, lanes: int, wide: bool):
         self.kind = np.int64 if wide else np.int32
         self.lanes, lane = lanes, np.arange(lanes)
-        self.lane, self.slot, self.context = lane, lane << _SLOT_BITS, lane * _CONTEXTS
-        self.two, self.one = (np.full(lanes << _SLOT_BITS, -4, self.kind) for _ in range(2))
+        self.lane, self.context = lane, lane * _CONTEXTS
+        # Order two's table, then order one's.
+        self.table, self.slot = np.full(2 * lanes << _SLOT_BITS, -4, self.kind), np.stack([lane, lane + lanes]) << _SLOT_BITS
         # Of each event (order two holds; order one holds, order two doesn't): hits and tries by context, weights.
         self.hits = np.zeros((2, lanes, _CONTEXTS), np.int64)
         self.tries = np.zeros((2, lanes, _CONTEXTS), np.int64)
         self.weight = np.full((2, 2, lanes, 1), 36000, np.int64)
-        # Order zero: the index of ids by slot, the ids, their counts.
+        # Order zero: the index of ids by slot, the counts of the ids, and for each its place (_FREQ) and the id (_ID).
         self.index = np.full(lanes << _INDEX_BITS, -1, np.int16)
         self.known, self.width = np.zeros(lanes, np.int64), 64
-        self.ids, self.counts = np.zeros((lanes, 64), self.kind), np.zeros((lanes, 64), np.int32)
+        self.counts, self.cells = np.zeros((lanes, 64), np.int32), np.zeros((lanes, 65, 2), np.uint32)
         self.escaped, self.seen = np.ones(lanes, np.int64), np.ones(lanes, np.int64)
         self._mix()
         self._frequencies()
 
-    def look(self, a: np.ndarray, b: np.ndarray, m: int):
-        """Places and entries of the predictions after ids b, a (unsigned 32-bit), and contexts, of m lanes."""
-        at2 = ((a * _ONE + b * _TWO) >> np.uint32(32 - _SLOT_BITS)) + self.slot[:m]
-        at1 = ((a * _THREE) >> np.uint32(32 - _SLOT_BITS)) + self.slot[:m]
-        two, one = self.two[at2], self.one[at1]
-        guess2, guess1 = two >> 2, one >> 2
-        context = ((two & 3) << 2) + (one & 3) + ((guess2 == guess1) << 4)
-        return at2, at1, two, one, guess2, guess1, context
+    def look(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, entry: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Into at, entry (two rows: order two, order one): places and entries of the predictions after ids b, a (unsigned
+        32-bit); into place: that of the lane's context. The predicted ids."""
+        m = a.shape[-1]
+        h = np.empty(at.shape, np.uint32)
+        two, one = h[..., 0, :], h[..., 1, :]
+        np.multiply(a, _ONE, out=two)
+        two += b * _TWO
+        np.multiply(a, _THREE, out=one)
+        h >>= _SLOT_SHIFT
+        np.add(h, self.slot[:, :m], out=at)
+        self.table.take(at, out=entry, mode="clip")
+        guess, sure = entry >> 2, entry & 3
+        by = sure[..., 0, :] << 2
+        by += sure[..., 1, :]
+        np.add(by, self.context[:m], out=place)
+        place += (guess[..., 0, :] == guess[..., 1, :]).view(np.int8) << 4
+        return guess
 
     def _mix(self) -> None:
-        """Bounds of "order two holds" and "order one holds" in each context (shifted by 20 bits, and added), from the chances by order two's and by
+        """Bounds of "order two holds" and "order one holds" in each context (shifted by 16 bits, and added), from the chances by order two's and by
         order one's sureness, mixed; and what the weights are to learn from."""
         if not hasattr(self, "bound"):
             self.inputs, self.chance = [None, None], [None, None]
@@ -102,69 +131,91 @@ class _Model:
             self.inputs[e], self.chance[e] = own, _SQUASH.take(np.clip(dot, -2047, 2047) + 2047)
         first = np.minimum(self.chance[0], 61440 - 64)
         second = first + np.maximum((65536 - first) * self.chance[1] >> 16, 1)
-        self.bound = (first << 20 | np.minimum(second, 61440)).ravel()
+        self.bound = (first << 16 | np.minimum(second, 61440)).ravel().astype(np.uint32)
 
-    def learn(self, ids: np.ndarray, valid: np.ndarray | None, looked, mix: bool) -> None:
+    def learn(self, ids: np.ndarray, valid: np.ndarray | None, at: np.ndarray, entry: np.ndarray, place: np.ndarray, mix: bool) -> None:
         """Bring predictions, and with `mix` bounds, up to date with ids (places by lanes); valid None: all of them."""
-        at2, at1, two, one, guess2, guess1, context = looked
-        m = ids.shape[1]
-        hit2, hit1 = guess2 == ids, guess1 == ids
+        hit = entry >> 2 == ids[:, None, :]
         # Of each lane and context: how often order two held, order one alone did, and neither.
-        nth = ((context + self.context[:m]) << 2) + np.where(hit2, 0, 2 - hit1)
-        seen = np.bincount(nth.ravel() if valid is None else nth[valid], minlength=self.lanes * _CONTEXTS * 4).reshape(self.lanes, _CONTEXTS, 4)
-        left = seen[:, :, 1] + seen[:, :, 2]
-        for e, (hits, tries) in enumerate(((seen[:, :, 0], seen[:, :, 0] + left), (seen[:, :, 1], left))):
+        two, one = hit[:, 0].view(np.int8), hit[:, 1].view(np.int8)
+        nth, bins = np.multiply((1 - two) * (2 - one), self.lanes * _CONTEXTS, dtype=np.int64), (3, self.lanes, _CONTEXTS)
+        nth += place
+        seen = np.bincount(nth.ravel() if valid is None else nth[valid], minlength=bins[0] * bins[1] * bins[2]).reshape(bins)
+        left = seen[1] + seen[2]
+        for e, (hits, tries) in enumerate(((seen[0], seen[0] + left), (seen[1], left))):
             error = hits * 65536 - tries * self.chance[e]
             for k in range(2):
-                step = (error * self.inputs[e][k]).sum(axis=1, keepdims=True) >> 16
+                step = np.einsum("ij,ij->i", error, self.inputs[e][k])[:, None] >> 16
                 self.weight[e, k] = np.clip(self.weight[e, k] + np.clip(step, -4000, 4000), 0, 1 << 17)
             self.hits[e] += hits
             self.tries[e] += tries
         if mix:
             self._mix()
-        for table, at, entry, hit in ((self.two, at2, two, hit2), (self.one, at1, one, hit1)):
-            sure = entry & 3
-            # An entry that held is surer, one that was sure is less so, another gives way; -4 (none) is never sure.
-            made = np.where(hit, np.where(sure < 3, entry + 1, entry), np.where(sure > 0, entry - 1, ids << 2))
-            if valid is None:
-                table[at] = made
-            else:
-                table[at[valid]] = made[valid]
-
-    def find(self, ids: np.ndarray) -> np.ndarray:
-        """Numbers in order zero of ids (places by lanes), -1 for none."""
+        sure = entry & 3
+        # An entry that held is surer, one that was sure is less so, another gives way; -4 (none) is never sure.
+        made = _either(hit, entry + (sure < 3), _either(sure > 0, entry - 1, (ids << 2)[:, None, :]))
+        if valid is None:
+            self.table[at] = made
+        else:
+            both = np.broadcast_to(valid[:, None, :], at.shape)
+            self.table[at[both]] = made[both]
+
+    def _slot(self, ids: np.ndarray, lane: np.ndarray) -> np.ndarray:
+        """Slots of ids in order zero's index."""
+        slot = ids.astype(np.uint32)
+        slot *= _FOUR
+        slot >>= _INDEX_SHIFT
+        return slot + (lane << _INDEX_BITS)
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in order zero of ids (places by lanes), -1 for none, and their places, those of the escape for none."""
         m = ids.shape[1]
-        slot = ((ids.astype(np.uint32) * _FOUR) >> np.uint32(32 - _INDEX_BITS)) + (self.lane[:m] << _INDEX_BITS)
-        d = self.index[slot]
-        held = self.ids.ravel()[d + self.lane[:m] * self.width]  # -1, none, gives the cell before
-        return np.where((d >= 0) & (held == ids), d, -1)
-
-    def renew(self, ids: np.ndarray, valid: np.ndarray) -> None:
-        """Order zero's ids, counts and frequencies, after ids (places by lanes) that were coded since the last time."""
+        d = self.index.take(self._slot(ids, self.lane[:m]))
+        cell = self.cell.take(d + self.row[:m], mode="clip")  # -1, none, gives another lane's
+        met = (cell >> np.uint64(32)).astype(np.uint32) == ids.astype(np.uint32)
+        met &= d >= 0
+        return d | -(~met).astype(np.int16), _either(met, cell.astype(np.uint32), self.cells[:m, -1, _FREQ]).view(np.int32)
+
+    def renew(self, ids: np.ndarray, valid: np.ndarray, d: np.ndarray) -> None:
+        """Order zero's ids, counts and frequencies, after ids (places by lanes) that were coded since the last time. d: their
+        numbers so far, -1 where there is none or it isn't known."""
         m = ids.shape[1]
-        slot = ((ids.astype(np.uint32) * _FOUR) >> np.uint32(32 - _INDEX_BITS)) + (self.lane[:m] << _INDEX_BITS)
-        fresh = np.flatnonzero((self.index[slot] < 0) & valid)
+        # Lane by lane, so that what a lane needs stays at hand.
+        ids, d = np.ascontiguousarray(ids.T), np.ascontiguousarray(d.T)
+        coded = np.full(m, ids.shape[1])
+        if not valid.all():
+            coded = valid.sum(axis=0)
+            d[~valid.T] = -1
+        miss = np.flatnonzero(d < 0) if valid.all() else np.flatnonzero((d < 0) & valid.T)
+        own, of = ids.ravel()[miss], miss // ids.shape[1]
+        slot = self._slot(own, of)
+        fresh = np.flatnonzero(self.index[slot] < 0)
         if len(fresh):
-            key, first = np.unique(slot.ravel()[fresh], return_index=True)  # of ids that share a slot, the first stays
-            lane, own = key >> _INDEX_BITS, ids.ravel()[fresh[first]]
+            both = np.sort(slot[fresh] << 32 | np.arange(len(fresh)))
+            both = both[np.flatnonzero(np.diff(both >> 32, prepend=-1))]  # of ids that share a slot, the first stays
+            key, first = both >> 32, both & 0xFFFFFFFF
+            lane, new = key >> _INDEX_BITS, own[fresh[first]]
             start = np.searchsorted(lane, np.arange(self.lanes))
-            d = self.known[lane] + np.arange(len(key)) - start[lane]
-            room = d < _MOST
-            key, lane, own, d = key[room], lane[room], own[room], d[room]
-            need = int(d.max(initial=0)) + 1
+            n = self.known[lane] + np.arange(len(key)) - start[lane]
+            room = n < _MOST
+            key, lane, new, n = key[room], lane[room], new[room], n[room]
+            need = int(n.max(initial=0)) + 1
             if need > self.width:
                 more = max(need, min(_MOST, self.width * 2)) - self.width
-                self.ids, self.counts = (np.pad(x, ((0, 0), (0, more))) for x in (self.ids, self.counts))
+                self.counts = np.pad(self.counts, ((0, 0), (0, more)))
+                self.cells = np.pad(self.cells, ((0, 0), (0, more), (0, 0)))
                 self.width += more
-            self.ids[lane, d] = own
-            self.index[key] = d
-            self.known = np.maximum(self.known, np.bincount(lane, minlength=self.lanes) + self.known)
-        d = self.find(ids)
-        met = (d >= 0) & valid
-        now = np.bincount((d + self.lane[:m] * self.width)[met], minlength=self.lanes * self.width)
-        self.counts += now.reshape(self.lanes, self.width).astype(np.int32)
-        fresh_of = np.bincount(fresh % m, minlength=self.lanes) if len(fresh) else np.zeros(self.lanes, np.int64)
-        self.escaped, self.seen = self.escaped // 2 + fresh_of, self.seen // 2 + np.bincount(np.flatnonzero(valid) % m, minlength=self.lanes)
+            self.cells[lane, n, _ID] = new
+            self.index[key] = n
+            self.known = np.bincount(lane, minlength=self.lanes) + self.known
+        found = self.index[slot]
+        met = (found >= 0) & (self.cells[of, found, _ID] == own.astype(np.uint32))
+        d.ravel()[miss] = np.where(met, found, np.int16(-1))
+        # One bin more before each lane's, for those without number.
+        now = np.bincount((d + (self.lane[:m] * (self.width + 1) + 1)[:, None]).ravel(), minlength=self.lanes * (self.width + 1))
+        np.add(self.counts, now.reshape(self.lanes, self.width + 1)[:, 1:], out=self.counts, casting="unsafe")
+        self.escaped = self.escaped // 2 + np.bincount(of[fresh], minlength=self.lanes)
+        self.seen = self.seen // 2 + np.pad(coded, (0, self.lanes - m))
         self._frequencies()
 
     def _frequencies(self) -> None:
@@ -177,7 +228,8 @@ class _Model:
         freq[:, :-1] = np.where(np.arange(self.width) < self.known[:, None], share + 1, 0)
         freq[:, -1] = _TOTAL - freq.sum(axis=1)
         self.freq = freq
-        self.packed = ((np.cumsum(freq, axis=1, dtype=np.int32) - freq) << 13 | freq).ravel()
+        self.cells[:, :, _FREQ] = (np.cumsum(freq, axis=1, dtype=np.int32) - freq) << 13 | freq
+        self.cell = self.cells.reshape(-1).view(np.uint64)  # both in one number, the id above
         self.row = self.lane * (self.width + 1)
 
     def slots(self) -> np.ndarray:
@@ -227,46 +279,59 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     grid = np.zeros((int(size[0]), lanes), model.kind)
     for k, i in enumerate(order):
         grid[: size[k], k] = blocks[i]
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-    width = 3 * int(size[0]) + 8  # an id takes two words, three in wide blocks
+    # Whole numbers below 2**53 as doubles: products, sums and powers of two are exact, and quick by vector instructions.
+    low, span = np.zeros(lanes), np.full(lanes, 2.0**48 - 1)
+    width = int(size[0]) + 8  # an id takes a word at most
     out, at = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
-
-    def put(hit, start, freq) -> None:
-        r = span[hit] >> 16
-        a, s = low[hit] + start * r, r * freq
-        go = s < (1 << 32)
-        out[at[hit]] = a >> 32  # overwritten later where no word is due
-        at[hit] += go
-        shift = go << 4
-        low[hit], span[hit] = np.where(go, a & _LOW32, a) << shift, s << shift
+    number, since = np.full((_LONGEST, lanes), -1, np.int16), 0  # of the ids since the last renewal
+    fresh: list[tuple[np.ndarray, np.ndarray]] = []  # lanes and ids coded in full
+
+    def put(own, start, freq) -> None:
+        r = np.floor(span[:own] * 2.0**-16)
+        start *= r
+        start += low[:own]
+        r *= freq
+        go = r < 2.0**32
+        word = np.floor(start * 2.0**-32)
+        out[at[:own]] = word  # overwritten later where no word is due
+        at[:own] += go
+        word *= go
+        word *= 2.0**32
+        start -= word
+        shift = go * 65535.0
+        shift += 1
+        np.multiply(start, shift, out=low[:own])
+        np.multiply(r, shift, out=span[:own])
 
     for t, end, m, renew in _chunks(size):
         ids = grid[t:end, :m]
-        looked = model.look(*_before(grid, t, end, m), m)
-        guess2, guess1 = looked[4], looked[5]
-        bound = model.bound[looked[6] + model.context[:m]]
-        b2, b1 = bound >> 20, bound & 1048575
-        d = model.find(ids)
-        held = model.packed[np.where(d < 0, model.width, d) + model.row[:m]]
-        start, rest = held >> 13, 65536 - b1
-        stop = b1 + (rest * (start + (held & 8191)) >> _TOTAL_BITS)
+        seen = np.empty((end - t, 2, m), np.int64), np.empty((end - t, 2, m), model.kind), np.empty((end - t, m), np.int64)
+        guess = model.look(*_before(grid, t, end, m), *seen)
+        bound = model.bound.take(seen[2])
+        b2, b1 = (bound >> np.uint32(16)).view(np.int32), (bound & np.uint32(65535)).view(np.int32)
+        d, cell = model.find(ids)
+        number[t - since : end - since, :m] = d
+        start, rest = cell >> 13, 65536 - b1
+        stop = b1 + (rest * (start + (cell & 8191)) >> _TOTAL_BITS)
         start = b1 + (rest * start >> _TOTAL_BITS)
-        two, one = guess2 == ids, guess1 == ids
-        start = np.where(two, 0, np.where(one, b2, start))
-        freq = np.where(two, b2, np.where(one, b1, stop)) - start
-        escape = (d < 0) & ~two & ~one
+        two, one = guess[:, 0] == ids, guess[:, 1] == ids
+        stop = _either(two, b2, _either(one, b1, stop))
+        start = _either(one, b2, start)
+        start *= ~two
+        start, freq = start.astype(np.float64), (stop - start).astype(np.float64)
+        valid = _valid(size, t, end, m)
+        escape = ((d < 0) & ~two & ~one if valid is None else (d < 0) & ~two & ~one & valid).T
+        fresh.append((np.nonzero(escape)[0], ids.T[escape]))
         for k in range(end - t):
             own = int(np.searchsorted(-size, -(t + k), "left"))
-            put(slice(0, own), start[k, :own], freq[k, :own])
-            full = np.flatnonzero(escape[k, :own])
-            if len(full):
-                put(full, ids[k, full].astype(np.int64) & 65535, 1)
-                far = full[wide[full]]
-                if len(far):
-                    put(far, ids[k, far] >> 16, 1)
-        model.learn(ids, _valid(size, t, end, m), looked, _mixes(end))
+            put(own, start[k, :own], freq[k, :own])
+        model.learn(ids, valid, *seen, _mixes(end))
         if renew is not None:
-            model.renew(grid[renew:end, :m], np.arange(renew, end)[:, None] < size[:m])
+            model.renew(grid[renew:end, :m], np.arange(renew, end)[:, None] < size[:m], number[: end - renew, :m])
+            since = end
+    of, full = (np.concatenate(x) for x in zip(*fresh, strict=True))
+    full = full[np.argsort(of, kind="stable")]
+    ends = np.cumsum(np.bincount(of, minlength=lanes))
     made: list[bytes] = [b""] * lanes
     for k, i in enumerate(order):
         words = np.concatenate([out[k * width : at[k]], [int(low[k]) >> 32, (int(low[k]) >> 16) & 65535, int(low[k]) & 65535]]).astype(np.uint32)
@@ -274,7 +339,12 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             words &= 65535
             words[:-1] += over[1:]
         crc = zlib.crc32(blocks[i].astype("<u4").tobytes())
-        made[i] = MAGIC + struct.pack("<III", len(blocks[i]) | (int(wide[k]) << 31), len(words), crc) + words.astype("<u2").tobytes()
+        back = full[ends[k - 1] if k else 0 : ends[k]].astype(np.uint32)
+        if wide[k]:
+            back = np.stack([back & 65535, back >> 16], axis=1).ravel()
+        words = np.concatenate([words, back[::-1]])
+        coded = words.astype("<u2").tobytes()
+        made[i] = MAGIC + struct.pack("<III", len(blocks[i]) | (int(wide[k]) << 31), len(words), zlib.crc32(coded, crc)) + coded
     return made
 
 
@@ -306,77 +376,100 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
         w = np.frombuffer(blocks[i], "<u2", heads[i][1], 16)
         words[k * width : k * width + len(w)] = w
     model = _Model(lanes, bool(wide.any()))
-    span, at = np.full(lanes, (1 << 48) - 1, np.int64), np.arange(lanes) * width
-    ends = at + width - 1
-    code = (words[at].astype(np.int64) << 32) | (words[at + 1].astype(np.int64) << 16) | words[at + 2]
+    at = np.arange(lanes) * width
+    back = at + [heads[i][1] - 1 for i in order]
+    # As in `encode`. Of a broken block, numbers may grow past 2**53, which its checksum tells.
+    span, code = np.full(lanes, 2.0**48 - 1), words[at] * 2.0**32 + words[at + 1] * 65536.0 + words[at + 2]
     at += 3
     grid = np.zeros((int(size[0]), lanes), model.kind)
+    number, since = np.full((_LONGEST, lanes), -1, np.int16), 0
     slots = model.slots()
     base = model.lane << _TOTAL_BITS
 
-    def take(hit, r, start, freq) -> None:
-        s, c = r * freq, code[hit] - start * r
-        go = s < (1 << 32)
-        shift = go << 4
-        here = at[hit]
-        code[hit] = np.where(go, c << 16 | words[here], c)
-        span[hit] = s << shift
-        at[hit] = np.minimum(here + go, ends[hit])
-
-    def flat(hit) -> np.ndarray:
-        r = span[hit] >> 16
-        v = np.minimum((code[hit] / r).astype(np.int64), 65535)
-        take(hit, r, v, 1)
-        return v
+    def whole(lane) -> np.ndarray:
+        back[lane] -= 1
+        return words.take(back[lane] + 1, mode="clip").astype(model.kind)
 
     for t, end, m, renew in _chunks(size):
-        looks = []
+        seen = np.zeros((end - t, 2, m), np.int64), np.zeros((end - t, 2, m), model.kind), np.zeros((end - t, m), np.int64)
         a, b = _before(grid, t, t + 1, m)
         a, b = a[0], b[0]
         for k in range(t, end):
             own = int(np.searchsorted(-size, -k, "left"))
-            looked = model.look(a[:own], b[:own], own)
-            bound = model.bound[looked[6] + model.context[:own]]
-            b1 = bound & 1048575
-            r = span[:own] >> 16
+            place = seen[2][k - t, :own]
+            guess = model.look(a[:own], b[:own], seen[0][k - t, :, :own], seen[1][k - t, :, :own], place)
+            bound = model.bound.take(place)
+            b2, b1 = (bound >> np.uint32(16)).view(np.int32), (bound & np.uint32(65535)).view(np.int32)
+            r = span[:own] * 2.0**-16
+            np.floor(r, out=r)
             # Dividends are below 2**49 and quotients below 2**17: the floor of the double is that of the exact quotient.
-            v = (code[:own] / r).astype(np.int64)
-            v[v > 65535] = 65535
-            rest, past = 65536 - b1, v - b1
-            hit = np.flatnonzero(past < 0)
-            past[hit] = 0
-            d = slots[((past << _TOTAL_BITS | (_TOTAL - 1)) / rest).astype(np.int64) + base[:own]]
-            held = model.packed[d + model.row[:own]]
-            start = held >> 13
-            stop = b1 + (rest * (start + (held & 8191)) >> _TOTAL_BITS)
-            start = b1 + (rest * start >> _TOTAL_BITS)
-            ids = model.ids.ravel().take(d + model.lane[:own] * model.width, mode="clip")  # an escape's is no id
-            full = d == model.width
-            if len(hit):
-                full[hit] = False
-                two, b2 = v[hit] < bound[hit] >> 20, bound[hit] >> 20
-                start[hit], stop[hit] = np.where(two, 0, b2), np.where(two, b2, b1[hit])
-                ids[hit] = np.where(two, looked[4][hit], looked[5][hit])
-            take(slice(0, own), r, start, stop - start)
-            full = np.flatnonzero(full)
+            v = code[:own] / r
+            v = np.minimum(v, 65535, out=v).astype(np.int32)
+            past, rest = v - b1, 65536 - b1
+            one, two = past >> 31, (v - b2) >> 31  # all bits where order one or two holds, where order two does
+            np.maximum(past, 0, out=past)
+            past <<= _TOTAL_BITS
+            past += _TOTAL - 1
+            q = (past.astype(np.float64) / rest).astype(np.int64)
+            q += base[:own]
+            d = slots.take(q)
+            cell = model.cell.take(d + model.row[:own])
+            # Of order zero: start and stop; where order one or two holds, the start is b1.
+            low = cell.astype(np.uint32).view(np.int32)
+            edge = np.empty((2, own), np.int32)
+            np.right_shift(low, 13, out=edge[0])
+            np.add(edge[0], low & 8191, out=edge[1])
+            edge *= rest
+            edge >>= _TOTAL_BITS
+            edge += b1
+            start, freq = edge
+            freq -= start
+            ids = (cell >> np.uint64(32)).astype(model.kind)  # an escape's is no id
+            full = np.flatnonzero(d == model.width)
+            if len(full):
+                full = full[one[full] == 0]
+            # b1 to b2 where order one holds, then to 0 where order two does; frequencies and ids likewise.
+            step = b1 - b2
+            step &= one
+            start -= step
+            start -= b2 & two
+            step -= freq
+            step &= one
+            freq += step
+            freq += (b2 - freq) & two
+            other = guess[1] ^ ids
+            other &= one
+            ids ^= other
+            other = guess[0] ^ ids
+            other &= two
+            ids ^= other
+            c, s = edge * r
+            go = s < 2.0**32
+            np.subtract(code[:own], c, out=c)
+            here = at[:own]
+            shift = go * 65535.0
+            shift += 1
+            c *= shift
+            np.add(c, words.take(here, mode="clip") * go, out=code[:own])
+            np.multiply(s, shift, out=span[:own])
+            here += go
+            number[k - since, :own] = d | one
             if len(full):
-                ids[full] = flat(full)
+                ids[full] = whole(full)
                 far = full[wide[full]]
                 if len(far):
-                    ids[far] |= (flat(far) << 16).astype(model.kind)
+                    ids[far] |= whole(far) << 16
+                number[k - since, full] = -1
             grid[k, :own] = ids
-            looks.append(looked)
             b, a = a, ids.astype(np.uint32)
-        if len(looks[-1][0]) < m:  # lanes that ended on the way: what stands there doesn't count
-            looks = [tuple(np.pad(x, (0, m - len(x))) for x in looked) for looked in looks]
-        model.learn(grid[t:end, :m], _valid(size, t, end, m), tuple(np.stack(x) for x in zip(*looks, strict=True)), _mixes(end))
+        model.learn(grid[t:end, :m], _valid(size, t, end, m), *seen, _mixes(end))
         if renew is not None:
-            model.renew(grid[renew:end, :m], np.arange(renew, end)[:, None] < size[:m])
-            slots = model.slots()
+            model.renew(grid[renew:end, :m], np.arange(renew, end)[:, None] < size[:m], number[: end - renew, :m])
+            slots, since = model.slots(), end
     made: list = [None] * lanes
     for k, i in enumerate(order):
         ids = grid[: size[k], k].astype(np.uint32)
-        if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][2]:
+        if zlib.crc32(blocks[i][16 : 16 + 2 * heads[i][1]], zlib.crc32(ids.astype("<u4").tobytes())) != heads[i][2]:
             raise ValueError("checksum of a block of token ids")
         made[i] = ids
     return made
@@ -418,7 +511,7 @@ def _written(path: str, kind: str, end: int, id_type: pa.DataType):
                     held.append((ids[first[at] : first[to]], np.diff(first[at : to + 1]), batch.column(0).slice(i + at, to - at)))
                     waiting += int(first[to] - first[at])
                     at = to
-                if waiting >= 6 << 20:
+                if waiting >= 8 << 20:
                     yield flush()
         if held:
             yield flush()

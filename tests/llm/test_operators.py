@@ -207,6 +207,17 @@ def test_token_blocks():
         tokenfile.decode([bytes(broken)])
 
 
+def test_full_ids_stand_apart():
+    """Ids coded in full take no step of the coder: they stand at the block's end, the first one last. Any broken byte is told."""
+    ids = np.arange(7, 307, dtype=np.uint32)
+    narrow, wide = tokenfile.encode([ids, ids * np.uint32(1 << 20)])
+    assert np.array_equal(np.frombuffer(narrow, "<u2")[: -len(ids) - 1 : -1], ids)
+    assert np.array_equal(np.frombuffer(wide, "<u2")[: -2 * len(ids) - 1 : -1].copy().view("<u4"), ids * np.uint32(1 << 20))
+    for at in range(16, len(narrow), 13):
+        with pytest.raises(ValueError):
+            tokenfile.decode([narrow[:at] + bytes([narrow[at] ^ 1]) + narrow[at + 1 :]])
+
+
 def test_coder_beats_deflate():
     """Ids of documents, in the coder's own blocks, against zlib on the same blocks."""
     texts = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id LIMIT 400").fetchall()
