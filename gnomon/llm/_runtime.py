@@ -37,6 +37,7 @@ FREE = (10, 20)
 _roots: dict[str, str] = {}
 _shipped: set[str] = set()
 _written: dict[str, int] = {}
+_compiled: dict[tuple[str, str], object] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -226,6 +227,24 @@ def settle_executors(spark: SparkSession) -> None:
         pass
 
 
+def java_functions(spark: SparkSession, source: Path, functions: dict[str, tuple[str, str]]) -> None:
+    """Register classes of a Java source file as functions: for each name the class and the type it returns. The driver compiles
+    the file by Janino, as Spark does its plans; the executors get the classes in a jar."""
+    jvm, app = spark._jvm, (spark.sparkContext.applicationId, str(source))
+    if app not in _compiled:
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(spark._jsparkSession.getClass().getClassLoader())
+        compiler.cook(source.read_text())
+        path = Path(tempfile.mkdtemp(prefix="gnomon-code-")) / f"{source.stem}.jar"
+        with zipfile.ZipFile(path, "w") as z:
+            for entry in compiler.getBytecodes().entrySet():
+                z.writestr(entry.getKey().replace(".", "/") + ".class", entry.getValue())
+        spark.sparkContext._jsc.addJar(str(path))
+        _compiled[app] = compiler.getClassLoader()
+    for name, (cls, kind) in functions.items():
+        spark._jsparkSession.udf().register(name, _compiled[app].loadClass(cls).newInstance(), jvm.org.apache.spark.sql.types.DataType.fromDDL(kind))
+
+
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

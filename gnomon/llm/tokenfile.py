@@ -8,7 +8,8 @@ full. The three make one interval of 65536ths, which a range coder narrows. Pred
 to date every `STEP` ids and frequencies at the places `_renewals` gives, so that encoder and decoder do the same work on
 many ids at once; all blocks of a batch are coded in step, one lane each, by array operations. All arithmetic is on
 whole numbers, integers or doubles below 2**53, and divisions are those whose floors double precision gives exactly, so
-coder and decoder agree everywhere.
+coder and decoder agree everywhere. `encode` and `decode` say what the bytes are, for readers without Spark; executors code
+and read the same bytes id after id, by TokenCoder.java, and Python workers only make the ids.
 
 File: Parquet rows (shard, record, first, doc_ids, lengths, payload), a record holding whole documents, `first` the ids
 before it in its shard, shards and records in ascending order of ids. payload: blocks, each "GTB3", number of ids,
@@ -25,6 +26,7 @@ from __future__ import annotations
 import struct
 import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -475,7 +477,17 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
     return made
 
 
-SCHEMA = "shard int, record long, first long, doc_ids array<{0}>, lengths array<long>, payload binary"
+#: Of the rows that workers make: a record's ids, little-endian, each in `size` bytes.
+SCHEMA = "shard int, record long, first long, doc_ids array<{0}>, lengths array<long>, ids binary, size int"
+
+
+def _coder(spark: SparkSession) -> None:
+    """Make the coder known to the session, as two functions: ids and their size to blocks; blocks and documents' lengths to
+    first id, length and checksum of each document."""
+    R.java_functions(
+        spark, Path(__file__).with_name("TokenCoder.java"),
+        {"gnomon_token_blocks": ("gnomon.TokenCoder$Encode", "binary"), "gnomon_token_documents": ("gnomon.TokenCoder$Documents", "array<array<bigint>>")},
+    )
 
 
 def _written(path: str, kind: str, end: int, id_type: pa.DataType):
@@ -490,15 +502,14 @@ def _written(path: str, kind: str, end: int, id_type: pa.DataType):
 
         def flush():
             nonlocal number, before, held, waiting
-            parts = [[ids[b : b + BLOCK] for b in range(0, len(ids), BLOCK)] for ids, _, _ in held]
-            coded = iter(encode([b for p in parts for b in p]))
-            rows = {"shard": [], "record": [], "first": [], "doc_ids": [], "lengths": [], "payload": []}
-            for (ids, lengths, docs), p in zip(held, parts, strict=True):
-                for c, v in zip(rows, (shard, number, before, docs.to_pylist(), lengths.tolist(), b"".join(next(coded) for _ in p)), strict=True):
+            rows = {"shard": [], "record": [], "first": [], "doc_ids": [], "lengths": [], "ids": [], "size": []}
+            for ids, lengths, docs in held:
+                size = 2 if ids.max() < 1 << 16 else 4
+                for c, v in zip(rows, (shard, number, before, docs.to_pylist(), lengths.tolist(), ids.astype(f"<u{size}").tobytes(), size), strict=True):
                     rows[c].append(v)
                 number, before = number + 1, before + len(ids)
             held, waiting = [], 0
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary())
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.int32())
             return pa.record_batch([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
 
         for batch in batches:
@@ -511,7 +522,7 @@ def _written(path: str, kind: str, end: int, id_type: pa.DataType):
                     held.append((ids[first[at] : first[to]], np.diff(first[at : to + 1]), batch.column(0).slice(i + at, to - at)))
                     waiting += int(first[to] - first[at])
                     at = to
-                if waiting >= 8 << 20:
+                if waiting >= 1 << 20:
                     yield flush()
         if held:
             yield flush()
@@ -524,31 +535,19 @@ def write(spark: SparkSession, docs: DataFrame, target: str, path: str, kind: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id")
     kind_of = dict(rows.dtypes)["id"]
-    rows.mapInArrow(_written(path, kind, end, R.arrow_type(rows, "id")), SCHEMA.format(kind_of)).write.parquet(target)
-
-
-def _read(batches):
-    for batch in batches:
-        blocks = [split(p.as_py()) for p in batch.column(5)]
-        ids = iter(decode([b for p in blocks for b in p]))
-        docs, start, count, crc, shard = [], [], [], [], []
-        for r, p in enumerate(blocks):
-            own = np.concatenate([next(ids) for _ in p])
-            at = 0
-            for d, n in zip(batch.column(3)[r].as_py(), batch.column(4)[r].as_py(), strict=True):
-                docs.append(d), start.append(batch.column(2)[r].as_py() + at), count.append(n), shard.append(batch.column(0)[r].as_py())
-                crc.append(zlib.crc32(own[at : at + n].astype("<u4").tobytes()))
-                at += n
-        kind = batch.schema.field(3).type.value_type
-        cols = [pa.array(shard, pa.int32()), pa.array(docs, kind), *(pa.array(x, pa.int64()) for x in (start, count, crc))]
-        yield pa.record_batch(cols, names=["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
+    _coder(spark)
+    made = rows.mapInArrow(_written(path, kind, end, R.arrow_type(rows, "id")), SCHEMA.format(kind_of))
+    made.select("shard", "record", "first", "doc_ids", "lengths", F.call_udf("gnomon_token_blocks", "ids", "size").alias("payload")).write.parquet(target)
 
 
 def read(spark: SparkSession, target: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
+    _coder(spark)
     files = spark.read.parquet(target)
-    kind = dict(files.dtypes)["doc_ids"][len("array<") : -1]
-    decoded = files.mapInArrow(_read, f"shard int, doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    # Every record has a document; the outer generator is one before which no filter decodes the blocks as well.
+    each = F.inline_outer(F.arrays_zip("doc_ids", F.call_udf("gnomon_token_documents", "payload", "lengths"))).alias("doc_id", "got")
+    decoded = files.select("shard", "first", each)
+    decoded = decoded.select("shard", "doc_id", (F.col("first") + F.col("got")[0]).alias("start"), F.col("got")[1].alias("n_tokens"), F.col("got")[2].alias("ids_crc32"))
     # Ids before each shard: one row for each shard.
     totals = files.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     rows = sorted((r["shard"], r["n"]) for r in totals.collect())

@@ -218,6 +218,38 @@ def test_full_ids_stand_apart():
             tokenfile.decode([narrow[:at] + bytes([narrow[at] ^ 1]) + narrow[at + 1 :]])
 
 
+def test_executors_coder(spark):
+    """The coder of the executors against `encode`: the same bytes, the same ids back, and an error for every broken byte."""
+    rng = np.random.default_rng(2)
+    cases = [rng.zipf(1.3, n).clip(0, 60000) for n in (1, 63, 64, 65, 255, 512, 513, 1024, 4095, 4096, 4097, 30000)]
+    cases += [np.arange(20000), np.zeros(9000), rng.integers(0, 5, 5000), rng.integers(0, 3000, 9000), np.full(5000, 2**32 - 1), rng.integers(0, 1 << 32, 9000), rng.zipf(1.2, 9000) % (1 << 32)]
+    cases = [c.astype(np.uint32) for c in cases]
+    tokenfile._coder(spark)
+    sizes = [2 if c.max() < 1 << 16 else 4 for c in cases]
+    rows = [(k, bytearray(c.astype(f"<u{n}").tobytes()), n) for k, (c, n) in enumerate(zip(cases, sizes, strict=True))]
+    blocks = spark.createDataFrame(rows, "k int, ids binary, size int").selectExpr("k", "gnomon_token_blocks(ids, size) AS payload")
+    coded = {r["k"]: bytes(r["payload"]) for r in blocks.collect()}
+    B = tokenfile.BLOCK
+    assert [coded[k] for k in range(len(cases))] == [b"".join(tokenfile.encode([c[i : i + B] for i in range(0, len(c), B)])) for c in cases]
+    rows = [(k, bytearray(coded[k]), [0, len(c) // 3, 0, len(c) - len(c) // 3]) for k, c in enumerate(cases)]
+    docs = spark.createDataFrame(rows, "k int, payload binary, n array<bigint>").selectExpr("k", "gnomon_token_documents(payload, n) AS got")
+    for r in docs.collect():
+        c, n = cases[r["k"]], len(cases[r["k"]]) // 3
+        assert r["got"] == [[0, 0, 0], [0, n, crc(c[:n])], [n, 0, 0], [n, len(c) - n, crc(c[n:])]]
+    for at in (0, 5, 9, 13, 17, len(coded[8]) // 2, len(coded[8]) - 1):
+        broken = bytearray(coded[8])
+        broken[at] ^= 1
+        with pytest.raises(Exception, match="token ids"):
+            spark.createDataFrame([(broken, [4095])], "payload binary, n array<bigint>").selectExpr("gnomon_token_documents(payload, n)").collect()
+
+
+def test_no_coding_in_workers(spark, tmp_path):
+    """Reading the files takes no Python worker, and blocks are decoded once."""
+    tokenfile.write(spark, spark.createDataFrame([(1, "one two")], "doc_id long, text string"), f"{tmp_path}/one", P.path("word_bpe_49k.json"))
+    plan = tokenfile.read(spark, f"{tmp_path}/one")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan and plan.count("gnomon_token_documents(payload") == 1
+
+
 def test_coder_beats_deflate():
     """Ids of documents, in the coder's own blocks, against zlib on the same blocks."""
     texts = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id LIMIT 400").fetchall()
